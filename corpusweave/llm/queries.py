@@ -8,8 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.catalog import table
-from corpusweave.llm import decontamination
-from corpusweave.llm.frames import pick
+from corpusweave.llm import decontamination, mixing, sharding
+from corpusweave.llm.frames import cut, pick
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    sizes = cut(docs.select("doc_id", "source", mixing.word_count().alias("size")))
+    plan = mixing.make_plan(sizes)
+    by_source = spark.createDataFrame(plan.sources, "mix_source string, source_size long, target double")
+    drawn = mixing.with_draws(sizes, plan).join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("mix_source")))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce(F.size("draws"), F.lit(0))).cast("long").alias("taken"), F.col("draws.shard").alias("shards"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot out of eight, under the law ``rows``."""
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = sharding.shard(docs)
+    return out.select(
+        "doc_id", (sharding.text_bytes() + 1).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +61,7 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_decontamination": op8_decontamination}
+    return {f.__name__: f for f in (op1_mixing, op3_sharding, op8_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
