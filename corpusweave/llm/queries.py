@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.catalog import table
-from corpusweave.llm import decontamination, mixing, sharding
-from corpusweave.llm.frames import cut, pick
+from corpusweave.llm import decontamination, mixing, quality, sharding, toxicity
+from corpusweave.llm.frames import cut, held_out, pick
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labels outside the held-out rows."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out())
+    scored = toxicity.score(pick(docs, "doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document against the whole benchmark."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -43,6 +51,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the compression bands' verdict for every document."""
+    found = quality.assess(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    failed = quality.base_failed()
+    return found.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), (~failed & (F.col("quality.verdict") == "keep")).alias("kept"), "quality.ratio", "quality.verdict")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP8_SQL = rf"""
@@ -61,7 +76,7 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op8_decontamination)}
+    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_toxicity, op8_decontamination, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
