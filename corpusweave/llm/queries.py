@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.catalog import table
-from corpusweave.llm import decontamination, mixing, quality, sharding, toxicity
+from corpusweave.llm import decontamination, language, mixing, quality, sharding, toxicity
 from corpusweave.llm.frames import cut, held_out, pick
 
 
@@ -58,6 +58,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias("base_failed"), (~failed & (F.col("quality.verdict") == "keep")).alias("kept"), "quality.ratio", "quality.verdict")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned outside the held-out rows."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, ~held_out())
+    found = language.identify(pick(docs, "doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP8_SQL = rf"""
@@ -76,7 +84,7 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_toxicity, op8_decontamination, op9_quality)}
+    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_toxicity, op8_decontamination, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
