@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.catalog import table
-from corpusweave.llm import decontamination, language, mixing, quality, sharding, toxicity
+from corpusweave.llm import decontamination, language, mixing, pii, quality, sharding, toxicity
 from corpusweave.llm.frames import cut, held_out, pick
 
 
@@ -40,6 +40,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document: counts and digests of the base kinds, and all spans."""
+    seen = pii.detect(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    base = [k.name for k in pii.KINDS if k.base]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    only = seen.select("doc_id", F.filter("pii", lambda s: s["place"] < len(base)).alias("base"), "pii")
+    return only.select(
+        "doc_id", *map(number, base),
+        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"),
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document against the whole benchmark."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -84,7 +97,7 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_toxicity, op8_decontamination, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_toxicity, op7_pii, op8_decontamination, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
