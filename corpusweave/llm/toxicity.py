@@ -112,22 +112,23 @@ def _adagrad(value: np.ndarray, seen: np.ndarray, grad: np.ndarray, rate: float)
 
 def log_odds(rows: np.ndarray, bounds: np.ndarray, labels: np.ndarray, use: np.ndarray) -> np.ndarray:
     """Where the embeddings' first dimension starts: each row's log odds of label 1, by texts, shrunk to 0 for what one text alone has."""
-    owner = np.repeat(np.arange(len(labels)), np.diff(bounds))
-    pairs = np.unique((owner[:, None].astype(np.int64) << BITS | rows).ravel())
-    text, row = pairs >> BITS, pairs & ((1 << BITS) - 1)
-    one, zero = (np.bincount(row[use[text] & (labels[text] == y)], minlength=1 << BITS) for y in (1, 0))
+    counts = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
+    for i in np.flatnonzero(use).tolist():
+        counts[int(labels[i])][np.unique(rows[bounds[i] : bounds[i + 1]])] += 1
+    zero, one = counts
     prior = np.log((labels[use] == 0).sum() / (labels[use] == 1).sum())
     most = np.maximum(one, zero)
     return ((np.log((one + 0.5) / (zero + 0.5)) + prior) * np.maximum(0, (most - 1) / (most + 1))).clip(-2, 8).astype(np.float32)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, langs: list[str | None], seed: int = 42, epochs: int = EPOCHS) -> Model:
+def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int = 42, epochs: int = EPOCHS) -> Model:
     """Trains on whole texts; every fifth is set aside for the thresholds."""
     if not len(labels) or labels.min() == labels.max():
         return _constant(float(labels.mean()) if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
-    block = Block(0, len(texts), np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))))
-    rows, bounds = features(block)
+    parts = [features(block) for block in blocks(pa.array(texts, pa.string()))]
+    rows = np.concatenate([r for r, _ in parts])
+    bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))))
     aside = np.arange(len(labels)) % 5 == 4
     if len(set(labels[~aside])) < 2:
         aside[:] = False
@@ -179,7 +180,7 @@ def fit(texts: list[bytes], labels: np.ndarray, langs: list[str | None], seed: i
             _adagrad(model.out, seen[3], g_o, rate * 0.5)
             model.out_bias -= rate * g_ob
     held = aside if aside.any() else ~aside
-    scores = np.concatenate([model.scores(Block(0, 1, block.data[a:b], np.array([0, b - a]))) for i, (a, b) in enumerate(zip(block.bounds[:-1], block.bounds[1:], strict=True)) if held[i]])
+    scores = np.concatenate([model.scores(block) for block in blocks(pa.array([t for t, h in zip(texts, held, strict=True) if h], pa.string()))])
     model.thresholds = calibrate(scores, labels[held], [x for x, h in zip(langs, held, strict=True) if h])
     return model
 
@@ -209,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, sample: int = SAMPLE
     share = min(1.0, sample / max(1, n))
     marks = marks.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).limit(2 * sample)
     rows = pick(docs, "doc_id", "text", "lang").join(F.broadcast(marks), "doc_id").select("doc_id", "text", "lang", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
-    return fit([(t or "").encode() for t in rows["text"].to_pylist()], np.array(rows["toxic"].to_pylist(), np.float64), rows["lang"].to_pylist(), seed)
+    return fit([t or "" for t in rows["text"].to_pylist()], np.array(rows["toxic"].to_pylist(), np.float64), rows["lang"].to_pylist(), seed)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
