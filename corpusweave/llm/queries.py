@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.catalog import table
-from corpusweave.llm import decontamination, language, mixing, pii, quality, sharding, toxicity
+from corpusweave.llm import decontamination, language, mixing, pii, quality, sharding, simhash, toxicity
 from corpusweave.llm.frames import cut, held_out, pick
 
 
@@ -40,6 +40,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int").alias("predicted"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id among its near duplicates."""
+    found = simhash.near_duplicates(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document: counts and digests of the base kinds, and all spans."""
     seen = pii.detect(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
@@ -97,7 +103,7 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_toxicity, op7_pii, op8_decontamination, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_toxicity, op6_simhash, op7_pii, op8_decontamination, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
