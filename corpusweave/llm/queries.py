@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.catalog import table
-from corpusweave.llm import decontamination, language, mixing, pii, quality, sharding, simhash, toxicity
+from corpusweave.llm import decontamination, language, mixing, pii, quality, sharding, simhash, substrings, toxicity
 from corpusweave.llm.frames import cut, held_out, pick
 
 
@@ -32,6 +32,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that a smaller document has."""
+    found = substrings.without_repeats(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return found.select("doc_id", "substrings.n_words", "substrings.n_removed", F.sha2(F.col("substrings.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document, learned from labels outside the held-out rows."""
     docs = table(spark, sf_dir, "documents")
@@ -102,9 +108,21 @@ FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, hash(array_to_string(w[i:i + 49], ' ')) AS g, md5(array_to_string(w[i:i + 49], ' ')) AS m FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+late AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY g, m) AS least FROM win) WHERE doc_id > least),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM late),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op5_toxicity, op6_simhash, op7_pii, op8_decontamination, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_mixing, op3_sharding, op4_substrings, op5_toxicity, op6_simhash, op7_pii, op8_decontamination, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8_SQL}
+    return {"op4_substrings": OP4_SQL, "op8_decontamination": OP8_SQL}
