@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.catalog import table
-from corpusweave.llm import decontamination, language, mixing, pii, quality, sharding, simhash, substrings, toxicity
+from corpusweave.llm import decontamination, language, mixing, pii, quality, sharding, simhash, substrings, suffixes, toxicity
 from corpusweave.llm.frames import cut, held_out, pick
 
 
@@ -22,6 +22,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce(F.size("draws"), F.lit(0))).cast("long").alias("taken"), F.col("draws.shard").alias("shards"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without the 100-byte strings that start earlier."""
+    found = suffixes.without_repeats(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return found.select("doc_id", *(f"suffixes.{c}" for c in ("n_bytes", "n_removed", "n_spans")), F.sha2("suffixes.kept", 256).alias("kept_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot out of eight, under the law ``rows``."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -121,7 +127,7 @@ FROM d LEFT JOIN kept USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_sharding, op4_substrings, op5_toxicity, op6_simhash, op7_pii, op8_decontamination, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_mixing, op2_suffixes, op3_sharding, op4_substrings, op5_toxicity, op6_simhash, op7_pii, op8_decontamination, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -78,8 +78,18 @@ def distinct_by_text(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return values[np.concatenate(([True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])))]
 
 
-def sketch(docs: DataFrame, bits: int, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> np.ndarray:
-    """The merged sketch: for each row of cells, packed bits for counts of two and more."""
+def text_values(window: int = WINDOW, gram: int = GRAM):
+    """What a block of texts brings to the sketch: the values of its windows, each once a text."""
+
+    def of(block: Block) -> np.ndarray:
+        _, _, texts, _, starts, values = window_values(block, window, gram)
+        return distinct_by_text(values, np.searchsorted(texts, starts, "right"))
+
+    return of
+
+
+def sketch(docs: DataFrame, bits: int, values_of, text: str = "text") -> np.ndarray:
+    """The merged sketch of ``values_of`` all blocks: for each row of cells, packed bits for counts of two and more."""
     at, low = docs.columns.index(text), bits - int(math.log2(SLICES))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +107,7 @@ def sketch(docs: DataFrame, bits: int, window: int = WINDOW, gram: int = GRAM, t
 
         for batch in batches:
             for block in blocks(batch.column(at)):
-                _, _, texts, _, starts, values = window_values(block, window, gram)
-                held.append(distinct_by_text(values, np.searchsorted(texts, starts, "right")))
+                held.append(values_of(block))
                 if sum(map(len, held)) >= HELD:
                     yield from flush()
         if held:
@@ -191,18 +200,18 @@ def _candidates(docs: DataFrame, shipped, bits: int, window: int, gram: int) ->
     return docs.mapInArrow(run, "k1 long, k2 long, doc long, row long, at array<int>")
 
 
-def sketch_bits(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> int:
-    """Bits of a cell's number: about eight cells for each value that the input can bring, within the bounds."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    values = size / 6 * 2 / (window - gram + 2)
+def sketch_bits(size: int, per_value: float) -> int:
+    """Bits of a cell's number: about eight cells for each value that ``size`` bytes bring, within the bounds."""
+    values = size / per_value
     return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2.0, 8 * values)))))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> DataFrame:
     """(doc, row, at): by document and text hash, bounds of stretches of window starts seen in a smaller document."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    bits = sketch_bits(rows, window, gram)
-    shipped = docs.sparkSession.sparkContext.broadcast(sketch(rows, bits, window, gram))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = sketch_bits(size, 6 * (window - gram + 2) / 2)
+    shipped = docs.sparkSession.sparkContext.broadcast(sketch(rows, bits, text_values(window, gram)))
     found = cut(_candidates(rows, shipped, bits, window, gram))
     open_, settled = found.filter("k1 IS NOT NULL"), found.filter("k1 IS NULL").select("doc", "row", "at")
     least = F.min("doc").over(Window.partitionBy("k1", "k2"))
