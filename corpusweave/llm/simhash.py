@@ -18,6 +18,12 @@ themselves and their one-bit neighbours, and two within two bits share such a va
 members share one, so no group is large (for ``most`` above 2 crowds are refused). Components come
 from the links by star rounds with checkpoints. No fingerprints or links go to the driver.
 
+At the wide radius that a similarity of 0.8 means (``bits_for``: 13 of 64), no choice of equal
+parts is selective. ``near_duplicates(similarity=...)`` takes its buckets from seeds instead: the
+two least of the same shingle hashes under each of ``BANDS`` seeded orders, which texts of Jaccard
+similarity 0.8 share in one order at least with probability above 0.999. Within a bucket all is as
+above. A crowded bucket is parted by the seeds of further orders.
+
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and ties
 share fingerprint and component; an empty table gives an empty result; rows without ``doc_id``
 have a fingerprint but never are a component's smallest id; other columns are kept.
@@ -36,42 +42,67 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm.components import components
 from corpusweave.llm.frames import cut, fresh
-from corpusweave.llm.textblocks import blocks
+from corpusweave.llm.textblocks import blocks, mix
 
 MOST_BITS = 2
 SHINGLE = 3
 PIVOTS = 16
 CROWD = 2000
 SEED = 42
+BANDS = 8
 _SLICE = 1 << 15
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """The unsigned 64-bit SimHash of one text."""
+def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle of one text, in order; empty without words."""
     import xxhash
 
     words = text.lower().split()
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)] * bool(words)
     digest = xxhash.xxh64_intdigest
-    n, votes = 0, np.zeros(64, np.int64)
-    while len(part := np.array([digest(s, SEED) for s in itertools.islice(shingles, _SLICE)] if not isinstance(shingles, list) else [digest(s, SEED) for s in shingles], np.uint64)):
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(part)
-        shingles = [] if isinstance(shingles, list) else shingles
-    return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
+    return np.array([digest(s, SEED) for s in shingles], np.uint64)
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The unsigned SimHash of shingle hashes; 0 of none."""
+    votes = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), _SLICE):
+        votes += np.unpackbits(hashes[lo : lo + _SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of one text."""
+    return vote(shingle_hashes(text, width))
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``docs`` with ``fingerprint`` as a signed long."""
-    name, at = fresh(docs, "fingerprint"), docs.columns.index(text)
-    out = docs.withColumn(name, F.lit(0).cast("long"))
+def seeds(hashes: np.ndarray, bands: int = BANDS) -> list[int]:
+    """For each band, a hash of the least shingle hashes under two orders."""
+    if not len(hashes):
+        return [0] * bands
+    least = [mix(hashes + np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))).min() for k in range(2 * bands)]
+    return mix(np.array(least[::2]) * np.uint64(31) + np.array(least[1::2])).view(np.int64).tolist()
+
+
+def bits_for(similarity: float) -> int:
+    """Bits that fingerprints at this cosine similarity differ in, on the average."""
+    return int(64 * math.acos(similarity) / math.pi)
+
+
+def with_fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE, bands: int = 0) -> DataFrame:
+    """``docs`` with ``fingerprint`` as a signed long and, with ``bands``, ``seeds``."""
+    name, keys, at = fresh(docs, "fingerprint"), fresh(docs, "seeds"), docs.columns.index(text)
+    out = docs.withColumn(name, F.lit(0).cast("long")).withColumn(keys, F.lit(None).cast("array<long>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(block.text(i), width) for block in blocks(batch.column(at)) for i in range(block.last - block.first)], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], schema=batch.schema)
+            prints, own = [], []
+            for block in blocks(batch.column(at)):
+                for i in range(block.last - block.first):
+                    hashes = shingle_hashes(block.text(i), width)
+                    prints.append(vote(hashes))
+                    own.append(seeds(hashes, bands) if bands else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(own, pa.list_(pa.int64()))], schema=batch.schema)
 
     return out.mapInArrow(run, out.schema)
 
@@ -97,9 +128,10 @@ def bucket_links(prints: np.ndarray, references: np.ndarray, most: int = MOST_BI
             x = root[x]
         return x
 
-    for lo in range(0, n, 512):
-        rows = order[lo : lo + 512]
-        upto = int(np.searchsorted(first, first[min(lo + 511, n - 1)] + most, "right"))
+    step = max(1, min(512, 2_000_000 // n))
+    for lo in range(0, n, step):
+        rows = order[lo : lo + step]
+        upto = int(np.searchsorted(first, first[min(lo + step, n) - 1] + most, "right"))
         others = order[lo:upto]
         close = np.abs(table[rows, 0][:, None] - table[others, 0][None, :]) <= most
         i, j = np.nonzero(close & (np.arange(len(rows))[:, None] < np.arange(len(others))[None, :]))
@@ -137,11 +169,36 @@ def _signed(x: int) -> int:
 
 def links(distinct: DataFrame, n: int, most: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) that connect what is within ``most`` bits, from distinct fingerprints ``f``."""
-    spark = distinct.sparkSession
     masks = band_masks(parts_for(n, most), most)
     rows = distinct.select("f", F.posexplode(F.array(*(F.col("f").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("band", "value"))
     met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rows = cut(rows.join(met, ["band", "value"]))
+    plain = bucketed_links(rows.filter(F.col("n") <= crowd), most)
+    crowded = rows.filter(F.col("n") > crowd).select("f").distinct()
+    if crowded.limit(1).count():
+        if most > 2:
+            raise ValueError(f"buckets of over {crowd} distinct fingerprints need most <= 2")
+        flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)).cast("long") for i in range(64)))
+        near = crowded.select("f", F.explode(F.transform(flips, lambda x: F.col("f").bitwiseXOR(x))).alias("near"))
+        groups = near.groupBy("near").agg(F.collect_list("f").alias("fs"))
+        plain = plain.unionAll(groups.filter(F.size("fs") > 1).select(F.array_min("fs").alias("a"), F.explode("fs").alias("b")).filter("a != b"))
+    return plain
+
+
+def seeded_links(distinct: DataFrame, most: int, crowd: int = CROWD, deepest: int = 3) -> DataFrame:
+    """Links (a, b) of distinct fingerprints ``f`` within ``most`` bits that share a seed of ``seeds``."""
+    rows = distinct.select("f", "seeds", F.posexplode("seeds").alias("band", "value"))
+    for depth in range(deepest):
+        met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rows = cut(rows.drop("n").join(met, ["band", "value"]))
+        further = F.xxhash64("value", F.element_at("seeds", (F.col("band") + depth + 1) % F.size("seeds") + 1))
+        rows = rows.withColumn("value", F.when(F.col("n") > crowd, further).otherwise(F.col("value")))
+    return bucketed_links(rows, most)
+
+
+def bucketed_links(rows: DataFrame, most: int) -> DataFrame:
+    """Spanning links of every bucket (band, value) of fingerprints ``f``."""
+    spark = rows.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     references = pivots()
 
@@ -168,32 +225,27 @@ def links(distinct: DataFrame, n: int, most: int = MOST_BITS, crowd: int = CROWD
         if len(held[0]):
             yield flush(*held)
 
-    plain = rows.filter(F.col("n") <= crowd).select(F.col("band").cast("long").alias("band"), "value", "f").repartition(width, "band", "value").sortWithinPartitions("band", "value", "f").mapInArrow(run, "a long, b long")
-    crowded = rows.filter(F.col("n") > crowd).select("f").distinct()
-    if crowded.limit(1).count():
-        if most > 2:
-            raise ValueError(f"buckets of over {crowd} distinct fingerprints need most <= 2")
-        flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)).cast("long") for i in range(64)))
-        near = crowded.select("f", F.explode(F.transform(flips, lambda x: F.col("f").bitwiseXOR(x))).alias("near"))
-        groups = near.groupBy("near").agg(F.collect_list("f").alias("fs"))
-        plain = plain.unionAll(groups.filter(F.size("fs") > 1).select(F.array_min("fs").alias("a"), F.explode("fs").alias("b")).filter("a != b"))
-    return plain
+    return rows.select(F.col("band").cast("long").alias("band"), "value", "f").repartition(width, "band", "value").sortWithinPartitions("band", "value", "f").mapInArrow(run, "a long, b long")
+
 
+def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE, text: str = "text", similarity: float | None = None) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (long) and ``component_id`` of every row of ``docs``.
 
-def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE, text: str = "text") -> DataFrame:
-    """``doc_id``, ``fingerprint`` (long) and ``component_id`` of every row of ``docs``."""
-    prints = cut(with_fingerprints(docs.select("doc_id", F.col(text).alias("text")), width=width).select("doc_id", F.col("fingerprint").alias("f")))
-    distinct = cut(prints.groupBy("f").agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.select("f"), distinct.count(), most))
+    Links are at ``most`` bits, all of them; or, with ``similarity``, at its bits among texts that share a seed.
+    """
+    made = with_fingerprints(docs.select("doc_id", F.col(text).alias("text")), width=width, bands=BANDS if similarity else 0)
+    prints = cut(made.select("doc_id", F.col("fingerprint").alias("f"), "seeds"))
+    distinct = cut(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.min("seeds").alias("seeds")))
+    found = components(seeded_links(distinct, bits_for(similarity)) if similarity else links(distinct.select("f"), distinct.count(), most))
     named = distinct.join(found, distinct["f"] == found["node"], "left").select("f", "least", F.coalesce("component", "f").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = cut(named.join(smallest, "component").select("f", "component_id"))
     return prints.join(ids, "f").select("doc_id", F.col("f").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id."""
-    chosen = near_duplicates(docs, most, width).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest id. Rows without an id go."""
+    chosen = near_duplicates(docs, width=width, similarity=similarity).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(chosen, docs["doc_id"] == F.col("kept_id"), "left_semi")
 
 
