@@ -1 +1,3 @@
 """Registered queries, one module for each part of the engine; importing this registers them."""
+
+from corpusweave.query_modules import texts  # noqa: F401
