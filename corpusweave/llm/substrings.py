@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusweave.llm.frames import cut, fresh
+from corpusweave.llm.frames import fresh
 from corpusweave.llm.textblocks import Block, blocks, mix, rolling, whole_windows
 
 WINDOW = 50
@@ -148,8 +148,11 @@ def maybe_repeated(values: np.ndarray, table: np.ndarray, bits: int) -> np.ndarr
     return ok
 
 
-def _candidates(docs: DataFrame, shipped, bits: int, window: int, gram: int) -> DataFrame:
-    """From (doc, row, text): the windows left to settle (keys, doc, row, places) and, with null keys, stretches settled already."""
+def _candidates(docs: DataFrame, shipped, bits: int, window: int, gram: int, settled: bool) -> DataFrame:
+    """From (doc, row, text): stretches settled within a chunk, or the windows left to settle with their keys.
+
+    The two come from two runs of the same pass: both together would have to be kept on disk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -160,26 +163,20 @@ def _candidates(docs: DataFrame, shipped, bits: int, window: int, gram: int) ->
             order = np.lexsort((at, row, doc, k2, k1))
             k1, k2, doc, row, at = (x[order] for x in (k1, k2, doc, row, at))
             new_key = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
-            least = doc[new_key][np.cumsum(new_key) - 1]
-            own = doc == least
-            new = new_key | np.concatenate(([True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
-            first = np.flatnonzero(new & own)
-            places = at[own]
-            offsets = np.concatenate((np.searchsorted(np.flatnonzero(own), first), [own.sum()])).astype(np.int32)
-            bounds = pa.array(np.stack([places, places + 1], 1).ravel().astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(k1[first]), pa.array(k2[first]), pa.array(doc[first]), pa.array(row[first]), pa.ListArray.from_arrays(2 * offsets, bounds)], ["k1", "k2", "doc", "row", "at"])
+            own = doc == doc[new_key][np.cumsum(new_key) - 1]
+            if not settled:
+                k1, k2, doc, row, at = (x[own] for x in (k1, k2, doc, row, at))
+                first = np.flatnonzero(np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (np.diff(at) > 1))))
+                end = at[np.concatenate((first[1:] - 1, [len(at) - 1]))] + 1
+                yield pa.RecordBatch.from_arrays([pa.array(k1[first]), pa.array(k2[first]), pa.array(doc[first]), pa.array(row[first]), pa.array(at[first].astype(np.int32)), pa.array(end.astype(np.int32))], ["k1", "k2", "doc", "row", "start", "end"])
+                return
             doc, row, at = doc[~own], row[~own], at[~own]
             if len(doc):
                 order = np.lexsort((at, row, doc))
                 doc, row, at = doc[order], row[order], at[order]
-                apart = np.concatenate(([True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
-                gap = np.flatnonzero(apart | np.concatenate(([True], np.diff(at) > 1)))
-                last = np.concatenate((gap[1:] - 1, [len(at) - 1]))
-                runs = np.stack([at[gap], at[last] + 1], 1).ravel().astype(np.int32)
-                each = np.flatnonzero(apart)
-                offsets = (2 * np.concatenate((np.searchsorted(gap, each), [len(gap)]))).astype(np.int32)
-                none = pa.nulls(len(each), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[each]), pa.array(row[each]), pa.ListArray.from_arrays(offsets, pa.array(runs))], ["k1", "k2", "doc", "row", "at"])
+                gap = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (np.diff(at) > 1))))
+                end = at[np.concatenate((gap[1:] - 1, [len(at) - 1]))] + 1
+                yield pa.RecordBatch.from_arrays([pa.array(doc[gap]), pa.array(row[gap]), pa.array(at[gap].astype(np.int32)), pa.array(end.astype(np.int32))], ["doc", "row", "start", "end"])
 
         table = shipped.value
         for batch in batches:
@@ -197,7 +194,12 @@ def _candidates(docs: DataFrame, shipped, bits: int, window: int, gram: int) ->
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "k1 long, k2 long, doc long, row long, at array<int>")
+    return docs.mapInArrow(run, "doc long, row int, start int, end int" if settled else "k1 long, k2 long, doc long, row int, start int, end int")
+
+
+def row_hash(text: str):
+    """Tells texts of one id apart."""
+    return F.coalesce(F.hash(text), F.lit(0))
 
 
 def sketch_bits(size: int, per_value: float) -> int:
@@ -207,16 +209,15 @@ def sketch_bits(size: int, per_value: float) -> int:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> DataFrame:
-    """(doc, row, at): by document and text hash, bounds of stretches of window starts seen in a smaller document."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    """(doc, row, at): by document and text hash, stretches of window starts seen in a smaller document."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), row_hash(text).alias("row"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch_bits(size, 6 * (window - gram + 2) / 2)
     shipped = docs.sparkSession.sparkContext.broadcast(sketch(rows, bits, text_values(window, gram)))
-    found = cut(_candidates(rows, shipped, bits, window, gram))
-    open_, settled = found.filter("k1 IS NOT NULL"), found.filter("k1 IS NULL").select("doc", "row", "at")
     least = F.min("doc").over(Window.partitionBy("k1", "k2"))
-    later = open_.withColumn("least", least).filter("doc > least").select("doc", "row", "at")
-    return later.unionAll(settled).groupBy("doc", "row").agg(F.flatten(F.collect_list("at")).alias("at"))
+    later = _candidates(rows, shipped, bits, window, gram, settled=False).withColumn("least", least).filter("doc > least").select("doc", "row", "start", "end")
+    both = later.unionAll(_candidates(rows, shipped, bits, window, gram, settled=True))
+    return both.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("at"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text") -> DataFrame:
@@ -224,7 +225,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     name = fresh(docs, "substrings")
     doc, row, at = (fresh(docs, c) for c in ("repeat_doc", "repeat_row", "repeat_at"))
     gone = repeats(docs, window, gram, text).toDF(doc, row, at)
-    joined = docs.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(doc)) & (F.xxhash64(text) == F.col(row)), "left").drop(doc, row)
+    joined = docs.join(gone, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(doc)) & (row_hash(text) == F.col(row)), "left").drop(doc, row)
     out = joined.withColumn(name, F.lit(None).cast("struct<n_words:bigint,n_removed:bigint,kept:string>"))
     text_at, stretch_at = docs.columns.index(text), joined.columns.index(at)
 
@@ -237,10 +238,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
                     lo, hi = int(texts[i]), int(texts[i + 1])
                     keep = np.ones(hi - lo, bool)
                     if stretches[block.first + i].is_valid:
-                        pairs = stretches[block.first + i].values.to_numpy(zero_copy_only=False).reshape(-1, 2)
+                        own = stretches[block.first + i].values
                         change = np.zeros(hi - lo + 1, np.int64)
-                        np.add.at(change, pairs[:, 0], 1)
-                        np.add.at(change, pairs[:, 1] + window - 1, -1)
+                        np.add.at(change, own.field("start").to_numpy(zero_copy_only=False), 1)
+                        np.add.at(change, own.field("end").to_numpy(zero_copy_only=False) + window - 1, -1)
                         keep = np.cumsum(change[:-1]) == 0
                     n_words.append(hi - lo)
                     n_removed.append(hi - lo - int(keep.sum()))
