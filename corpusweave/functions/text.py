@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ SENTENCE_END = r"(?<=[.!?])\s+"
 EDGE = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends, of any Unicode kind."""
     return F.regexp_replace(x, EDGE, "")
@@ -138,9 +145,12 @@ def sentences(x: Column) -> Column:
 
 def drop_adjacent(parts: Column) -> Column:
     """Parts that differ from the one before, case and outer blanks aside."""
-    same = lambda a: F.lower(strip(a))
-    kept = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: (i == 1) | (same(F.element_at(parts, i)) != same(F.element_at(parts, F.greatest(i - 1, F.lit(1))))))
-    return F.transform(kept, lambda i: F.element_at(parts, i))
+
+    def kept(pairs: Column) -> Column:
+        new = F.filter(pairs, lambda p, i: (i == 0) | (p["key"] != F.element_at(pairs, F.greatest(i, F.lit(1)))["key"]))
+        return F.transform(new, lambda p: p["part"])
+
+    return let(F.transform(parts, lambda p: F.struct(p.alias("part"), F.lower(strip(p)).alias("key"))), kept)
 
 
 def keep_passage(raw: Column, allow_short: Column | None = None) -> Column:
