@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _lcs(a: str, b: str) -> int:
@@ -79,6 +80,6 @@ def composite(mention: str, name: str) -> float:
     return max(weighted(mention, name), token_sort(mention, name), partial(mention.lower(), name.lower()), ratio(sound, skeleton(name)) if sound else 0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def composite_score(mention: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([composite(a or "", b or "") for a, b in zip(mention, name, strict=True)], dtype="float64")

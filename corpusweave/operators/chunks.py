@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from corpusweave.functions import text as X
 from corpusweave.operators import entities as E
@@ -39,7 +40,8 @@ def hard_split(sentence: str, most: int, count: Callable[[str], int] = words) ->
 
 def pack(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, count: Callable[[str], int] = words) -> list[str]:
     """Sentences packed in order; each piece after the first begins with the last ``overlap`` sentences before it."""
-    parts = [p for s in _END.split(text) if (s := s.strip()) for p in (hard_split(s, most, count) if count(s) > most else [s])]
+    whole = [s.strip() for s in _END.split(text) if s.strip()]
+    parts = [p for s in whole for p in (hard_split(s, most, count) if count(s) > most else [s])]
     out, held, used = [], [], 0
     for s in parts:
         n = count(s)
@@ -72,12 +74,12 @@ def tidy(text: str) -> str:
     return collapse_runs(" ".join(kept))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def packed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [tidy(p) for p in pack(t or "")])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def tidied(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: tidy(t or ""))
 

@@ -31,7 +31,7 @@ def gazetteer_names(pages: DataFrame) -> DataFrame:
 
 def frequencies(chunks: DataFrame, column: str = "entities") -> DataFrame:
     """How many tags each name has over all chunks."""
-    return chunks.select(F.trim(F.explode(column)).alias("name")).filter("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("freq"))
+    return chunks.select(F.explode(column).alias("name")).select(F.trim("name").alias("name")).filter("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def tokens(text: Column) -> Column:
