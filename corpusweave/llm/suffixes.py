@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.frames import cut, fresh
+from corpusweave.llm.frames import fresh
 from corpusweave.llm.substrings import LAST, maybe_repeated, sketch, sketch_bits, sliding_min
 from corpusweave.llm.textblocks import _BYTES, Block, blocks, mix, whole_windows
 
@@ -44,11 +44,12 @@ GRAM = 36
 LEFT = LENGTH - GRAM
 HEAD = 8
 KEY = HEAD + LENGTH + LEFT + 2
-HELD = 200_000
+HELD = 120_000
 PART_BYTES = 24 << 20
 SMALL_BLOCK = 512 << 10
 
-ROW = "part int, n int, shared binary, rest binary, doc binary, row binary, at binary, stretch_doc long, stretch_row long, stretches array<int>"
+RUN = "part int, shared binary, rest binary, doc binary, row binary, at binary"
+STRETCHES = "doc long, row long, at array<int>"
 
 
 def sliding_max(values: np.ndarray, width: int) -> np.ndarray:
@@ -129,23 +130,16 @@ def by_document(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.nda
     return pa.RecordBatch.from_arrays([pa.array(doc[each], pa.int64()), pa.array(row[each], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(runs))], ["doc", "row", "at"])
 
 
-def _row_batch(stretches: pa.RecordBatch | None, run: list | None) -> pa.RecordBatch:
-    names = ["part", "n", "shared", "rest", "doc", "row", "at", "stretch_doc", "stretch_row", "stretches"]
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64(), pa.list_(pa.int32())]
-    n = stretches.num_rows if stretches is not None else len(run)
-    left = [pa.nulls(n, k) for k in kinds[:7]] if stretches is not None else [pa.array(list(c), k) for c, k in zip(zip(*run, strict=True), kinds[:7], strict=True)]
-    right = list(stretches.columns) if stretches is not None else [pa.nulls(n, k) for k in kinds[7:]]
-    return pa.RecordBatch.from_arrays([*left, *right], names)
-
-
-def sorted_run(keys: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """One sorted run, cut into parts and front-coded, and the stretches that it settles by itself."""
+def sorted_run(keys: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int, settled: bool) -> Iterator[pa.RecordBatch]:
+    """One sorted run, cut into parts and front-coded; or (``settled``) the stretches that it settles by itself."""
     order = np.argsort(np.ascontiguousarray(keys).view(f"S{KEY}").ravel(), kind="stable")
     keys, doc, row, at = keys[order], doc[order], row[order], at[order]
     earliest, others = fold(shared_prefixes(keys), doc, row, at)
-    fits, start, end = whole_stretch(keys[others], at[others])
-    if fits.any():
-        yield _row_batch(by_document(doc[others][fits], row[others][fits], start[fits], end[fits]), None)
+    if settled:
+        fits, start, end = whole_stretch(keys[others], at[others])
+        if fits.any():
+            yield by_document(doc[others][fits], row[others][fits], start[fits], end[fits])
+        return
     keys, doc, row, at = keys[earliest], doc[earliest], row[earliest], at[earliest]
     head = keys[:, :4].copy().view(">u4").ravel().astype(np.uint64)
     part = (head * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -155,9 +149,10 @@ def sorted_run(keys: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarra
     out = []
     for a, b in itertools.pairwise([*edges.tolist(), len(part)]):
         rest = keys[a:b][np.arange(KEY) >= shared[a:b, None]]
-        out.append((int(part[a]), b - a, shared[a:b].astype(np.uint8).tobytes(), rest.tobytes(), doc[a:b].tobytes(), row[a:b].tobytes(), at[a:b].astype(np.int32).tobytes()))
+        out.append((int(part[a]), shared[a:b].astype(np.uint8).tobytes(), rest.tobytes(), doc[a:b].tobytes(), row[a:b].tobytes(), at[a:b].astype(np.int32).tobytes()))
     for a in range(0, len(out), 64):
-        yield _row_batch(None, out[a : a + 64])
+        columns = zip(*out[a : a + 64], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.int32()), *(pa.array(list(c), pa.binary()) for c in columns)], ["part", "shared", "rest", "doc", "row", "at"])
 
 
 class FrontCoded:
@@ -288,13 +283,13 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     shipped = spark.sparkContext.broadcast(sketch(rows, bits, lambda block: anchors(block)[1]))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sort(batches: Iterator[pa.RecordBatch], settled: bool) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            yield from sorted_run(*columns, parts)
+            yield from sorted_run(*columns, parts, settled)
 
         for batch in batches:
             docs_of, rows_of = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -324,10 +319,10 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         if blobs and (out := merge_part(blobs)) is not None:
             yield out
 
-    sorted_runs = cut(rows.mapInArrow(sort, ROW))
-    exchanged = sorted_runs.filter("part IS NOT NULL").select("part", "shared", "rest", "doc", "row", "at").repartition(parts, "part").sortWithinPartitions("part")
-    merged = exchanged.mapInArrow(merge, "doc long, row long, at array<int>")
-    settled = sorted_runs.filter("part IS NULL").select(F.col("stretch_doc").alias("doc"), F.col("stretch_row").alias("row"), F.col("stretches").alias("at"))
+    # Two runs of the same pass: both results together would have to be kept on disk.
+    runs = rows.mapInArrow(lambda batches: sort(batches, False), RUN)
+    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, STRETCHES)
+    settled = rows.mapInArrow(lambda batches: sort(batches, True), STRETCHES)
     return merged.unionAll(settled).groupBy("doc", "row").agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
