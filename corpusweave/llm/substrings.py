@@ -37,7 +37,7 @@ GRAM = 25
 DEPTH = 2
 LEAST_BITS, MOST_BITS = 20, 29
 SLICES = 256
-HELD = 2_000_000
+HELD = 1_000_000
 LAST = (1 << 63) - 1
 
 
