@@ -245,8 +245,9 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """``docs`` with one document of each component: the one of the smallest id. Rows without an id go."""
-    chosen = near_duplicates(docs, width=width, similarity=similarity).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(chosen, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    kept = fresh(docs, "kept_id")
+    chosen = near_duplicates(docs, width=width, similarity=similarity).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(chosen, docs["doc_id"] == chosen[kept], "left_semi")
 
 
 def as_hex(f: Column) -> Column:
