@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from corpusweave.llm.frames import fresh, pick
 from corpusweave.llm.textblocks import LOWER, Block, blocks, mix
 
-SAMPLE = 8_000
-BITS = 19
+SAMPLE = 6_000
+BITS = 18
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 12
@@ -40,6 +40,7 @@ PREFIXES = (4, 5, 6)
 EPOCHS = 3
 BATCH = 48
 FEWEST = 30
+TRAIN_BLOCK = 256 << 10
 
 
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -126,14 +127,15 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int
     if not len(labels) or labels.min() == labels.max():
         return _constant(float(labels.mean()) if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
-    parts = [features(block) for block in blocks(pa.array(texts, pa.string()))]
+    parts = [features(block) for block in blocks(pa.array(texts, pa.string()), TRAIN_BLOCK)]
     rows = np.concatenate([r for r, _ in parts])
     bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))))
+    del parts
     aside = np.arange(len(labels)) % 5 == 4
     if len(set(labels[~aside])) < 2:
         aside[:] = False
     model = _constant(float(labels[~aside].mean()))
-    model.table = rng.normal(0, 0.05, model.table.shape).astype(np.float32)
+    model.table = 0.05 * rng.standard_normal(model.table.shape, np.float32)
     model.filters = [rng.normal(0, 0.5, f.shape).astype(np.float32) for f in model.filters]
     model.bias += 0.05
     model.out = rng.normal(0, 0.3, model.out.shape).astype(np.float32)
@@ -180,7 +182,7 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int
             _adagrad(model.out, seen[3], g_o, rate * 0.5)
             model.out_bias -= rate * g_ob
     held = aside if aside.any() else ~aside
-    scores = np.concatenate([model.scores(block) for block in blocks(pa.array([t for t, h in zip(texts, held, strict=True) if h], pa.string()))])
+    scores = np.concatenate([model.scores(block) for block in blocks(pa.array([t for t, h in zip(texts, held, strict=True) if h], pa.string()), TRAIN_BLOCK)])
     model.thresholds = calibrate(scores, labels[held], [x for x, h in zip(langs, held, strict=True) if h])
     return model
 
@@ -210,7 +212,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, sample: int = SAMPLE
     share = min(1.0, sample / max(1, n))
     marks = marks.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).limit(2 * sample)
     rows = pick(docs, "doc_id", "text", "lang").join(F.broadcast(marks), "doc_id").select("doc_id", "text", "lang", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
-    return fit([t or "" for t in rows["text"].to_pylist()], np.array(rows["toxic"].to_pylist(), np.float64), rows["lang"].to_pylist(), seed)
+    texts, toxic, langs = [t or "" for t in rows["text"].to_pylist()], np.array(rows["toxic"].to_pylist(), np.float64), rows["lang"].to_pylist()
+    del rows
+    pa.default_memory_pool().release_unused()
+    return fit(texts, toxic, langs, seed)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
