@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.llm.frames import fresh
-from corpusweave.llm.textblocks import Block, blocks, mix, rolling, whole_windows
+from corpusweave.llm.textblocks import BLOCK_BYTES, Block, blocks, mix, rolling, whole_windows
 
 WINDOW = 50
 GRAM = 25
@@ -88,7 +88,7 @@ def text_values(window: int = WINDOW, gram: int = GRAM):
     return of
 
 
-def sketch(docs: DataFrame, bits: int, values_of, text: str = "text") -> np.ndarray:
+def sketch(docs: DataFrame, bits: int, values_of, text: str = "text", block_bytes: int = BLOCK_BYTES) -> np.ndarray:
     """The merged sketch of ``values_of`` all blocks: for each row of cells, packed bits for counts of two and more."""
     at, low = docs.columns.index(text), bits - int(math.log2(SLICES))
 
@@ -106,7 +106,7 @@ def sketch(docs: DataFrame, bits: int, values_of, text: str = "text") -> np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array([row * SLICES + s for s in range(SLICES)], pa.int32()), pa.array([c[k == 1].tobytes() for c, k in parts], pa.binary()), pa.array([c[k > 1].tobytes() for c, k in parts], pa.binary())], ["slice", "once", "more"])
 
         for batch in batches:
-            for block in blocks(batch.column(at)):
+            for block in blocks(batch.column(at), block_bytes):
                 held.append(values_of(block))
                 if sum(map(len, held)) >= HELD:
                     yield from flush()

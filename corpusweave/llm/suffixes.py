@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +45,9 @@ GRAM = 36
 LEFT = LENGTH - GRAM
 HEAD = 8
 KEY = HEAD + LENGTH + LEFT + 2
-HELD = 120_000
-PART_BYTES = 24 << 20
-SMALL_BLOCK = 512 << 10
+HELD = 80_000
+PART_BYTES = 8 << 20
+SMALL_BLOCK = 256 << 10
 
 RUN = "part int, shared binary, rest binary, doc binary, row binary, at binary"
 STRETCHES = "doc long, row long, at array<int>"
@@ -249,17 +250,17 @@ def merge_part(blobs: list[tuple]) -> pa.RecordBatch | None:
     at = np.concatenate([np.frombuffer(b[4], np.int32) for b in blobs]).astype(np.int64)
     first = np.concatenate(([0], np.cumsum([len(b[0]) for b in blobs]))).tolist()
     runs = [FrontCoded(b[0], b[1]) for b in blobs]
-    seen, index, shared, keys = [0] * len(runs), [], [], []
+    seen, index, shared, keys = [0] * len(runs), array("i"), bytearray(), bytearray()
     for run, same in merge_runs(runs):
         index.append(first[run] + seen[run])
         seen[run] += 1
         shared.append(same)
         if same < KEY:
-            keys.append(runs[run].key)
-    index, shared = np.array(index), np.array(shared, np.int64)
+            keys += runs[run].key
+    index, shared = np.frombuffer(index, np.int32), np.frombuffer(shared, np.uint8).astype(np.int64)
     shared[:1] = 0
     doc, row, at = doc[index], row[index], at[index]
-    table = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, KEY)
+    table = np.frombuffer(keys, np.uint8).reshape(-1, KEY)
     earliest, others = fold(shared, doc, row, at)
     of = np.cumsum(shared < KEY) - 1
     fits, start, end = whole_stretch(table[of[others]], at[others])
@@ -280,7 +281,7 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch_bits(size, (LEFT + 2) / 2)
-    shipped = spark.sparkContext.broadcast(sketch(rows, bits, lambda block: anchors(block)[1]))
+    shipped = spark.sparkContext.broadcast(sketch(rows, bits, lambda block: anchors(block)[1], block_bytes=SMALL_BLOCK))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
 
     def sort(batches: Iterator[pa.RecordBatch], settled: bool) -> Iterator[pa.RecordBatch]:
@@ -309,7 +310,8 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):
+                values = [c[i].as_py() for c in batch.columns]
                 if values[0] != now and blobs:
                     if (out := merge_part(blobs)) is not None:
                         yield out
