@@ -25,3 +25,17 @@ def tier(spec: str) -> tuple[str, str | None]:
 def tier_columns(spec: Column) -> tuple[Column, Column]:
     model = F.when(F.contains(spec, F.lit(":")), F.trim(F.regexp_extract(spec, "^[^:]*:(.*)$", 1)))
     return F.lower(F.trim(F.substring_index(spec, ":", 1))), model
+
+
+def first_answer(specs: list[str], ask, retryable: tuple[type[Exception], ...], empty=("", None)):
+    """The first tier's answer that isn't empty; a retryable error or an empty answer goes to the next tier, any other error is raised."""
+    last: Exception | None = None
+    for spec in specs:
+        try:
+            answer = ask(*tier(spec))
+        except retryable as error:
+            last = error
+            continue
+        if answer not in empty:
+            return answer
+    raise last or ValueError("no tier answered")

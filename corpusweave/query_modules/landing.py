@@ -209,3 +209,16 @@ def x27(spark, sf):
     text = F.when(F.col("event_type").isin("view", "click"), F.lit(" Yes")).otherwise(F.lit("off"))
     provider, model = config.tier_columns(F.concat(F.upper("event_type"), F.lit(":m:"), F.col("user_id").cast("string")))
     return table(spark, sf, "events").select("event_id", config.bool_column(text).alias("flag"), provider.alias("provider"), model.alias("model"))
+
+
+@register("g7_tiers", "SELECT 'second/m' AS answer")
+def g7(spark, sf):
+    """The first tier fails retryably, the second answers."""
+
+    def ask(provider, model):
+        if provider == "first":
+            raise TimeoutError
+        return f"{provider}/{model}"
+
+    answer = config.first_answer(["first:x", "second:m"], ask, (TimeoutError,))
+    return table(spark, sf, "region").limit(1).select(F.lit(answer).alias("answer"))
