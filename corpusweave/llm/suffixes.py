@@ -75,14 +75,14 @@ def anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keys_at(block: Block, at: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Sort keys of anchors: gram hash, bytes from the anchor on, bytes before it (nearest first), both lengths; zero-padded."""
+    """Sort keys of anchors: gram hash (mixed again, as anchors have the least hashes), bytes from the anchor on, bytes before it (nearest first), both lengths; zero-padded."""
     owner = np.searchsorted(block.bounds, at, "right") - 1
     right = np.minimum(block.bounds[owner + 1] - at, LENGTH)
     left = np.minimum(at - block.bounds[owner], LEFT)
     padded = np.concatenate([np.zeros(LEFT, np.uint8), block.data, np.zeros(LENGTH, np.uint8)])
     spans = np.lib.stride_tricks.sliding_window_view(padded, LEFT + LENGTH)[at]
     out = np.zeros((len(at), KEY), np.uint8)
-    out[:, :HEAD] = grams.astype(">u8").view(np.uint8).reshape(-1, HEAD)
+    out[:, :HEAD] = mix(grams).astype(">u8").view(np.uint8).reshape(-1, HEAD)
     out[:, HEAD : HEAD + LENGTH] = spans[:, LEFT:] * (np.arange(LENGTH) < right[:, None])
     out[:, HEAD + LENGTH : -2] = spans[:, :LEFT][:, ::-1] * (np.arange(LEFT) < left[:, None])
     out[:, -2], out[:, -1] = right, left
