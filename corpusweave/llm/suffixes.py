@@ -131,6 +131,13 @@ def by_document(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.nda
     return pa.RecordBatch.from_arrays([pa.array(doc[each], pa.int64()), pa.array(row[each], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(runs))], ["doc", "row", "at"])
 
 
+def by_stretch(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """One row a stretch: a document's anchors are spread over the parts, so there is little to unite in one."""
+    offsets = pa.array(np.arange(0, 2 * len(doc) + 1, 2, dtype=np.int32))
+    bounds = pa.array(np.stack([start, end], 1).ravel().astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.ListArray.from_arrays(offsets, bounds)], ["doc", "row", "at"])
+
+
 def sorted_run(keys: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int, settled: bool) -> Iterator[pa.RecordBatch]:
     """One sorted run, cut into parts and front-coded; or (``settled``) the stretches that it settles by itself."""
     order = np.argsort(np.ascontiguousarray(keys).view(f"S{KEY}").ravel(), kind="stable")
@@ -272,7 +279,7 @@ def merge_part(blobs: list[tuple]) -> pa.RecordBatch | None:
     hit = most >= 0
     out.append((doc[hit], row[hit], at[hit] - most[hit], at[hit] - least[hit] + LENGTH))
     merged = [np.concatenate(x) for x in zip(*out, strict=True)]
-    return by_document(*merged) if len(merged[0]) else None
+    return by_stretch(*merged) if len(merged[0]) else None
 
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
