@@ -22,7 +22,7 @@ At the wide radius that a similarity of 0.8 means (``bits_for``: 13 of 64), no c
 parts is selective. ``near_duplicates(similarity=...)`` takes its buckets from seeds instead: the
 two least of the same shingle hashes under each of ``BANDS`` seeded orders, which texts of Jaccard
 similarity 0.8 share in one order at least with probability above 0.999. Within a bucket all is as
-above. A crowded bucket is parted by the seeds of further orders.
+above. A crowded bucket is dealt to blocks and every two blocks meet, so each pair is compared.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and ties
 share fingerprint and component; an empty table gives an empty result; rows without ``doc_id``
@@ -185,15 +185,20 @@ def links(distinct: DataFrame, n: int, most: int = MOST_BITS, crowd: int = CROWD
     return plain
 
 
-def seeded_links(distinct: DataFrame, most: int, crowd: int = CROWD, deepest: int = 3) -> DataFrame:
+def seeded_links(distinct: DataFrame, most: int, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``f`` within ``most`` bits that share a seed of ``seeds``."""
-    rows = distinct.select("f", "seeds", F.posexplode("seeds").alias("band", "value"))
-    for depth in range(deepest):
-        met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = cut(rows.drop("n").join(met, ["band", "value"]))
-        further = F.xxhash64("value", F.element_at("seeds", (F.col("band") + depth + 1) % F.size("seeds") + 1))
-        rows = rows.withColumn("value", F.when(F.col("n") > crowd, further).otherwise(F.col("value")))
-    return bucketed_links(rows, most)
+    rows = distinct.select("f", F.posexplode("seeds").alias("band", "value"))
+    met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return bucketed_links(in_blocks(rows.join(met, ["band", "value"]), crowd), most)
+
+
+def in_blocks(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Buckets (band, value) of over ``crowd`` rows (``n``) dealt by ``f`` to blocks of half of it, each two of which meet under a value of their own."""
+    most = F.when(F.col("n") > crowd, F.ceil(2 * F.col("n") / crowd)).otherwise(1)
+    own = F.pmod(F.xxhash64(F.lit(SEED), "f"), most)
+    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), most - 1)))
+    paired = F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other"))
+    return met.withColumn("value", F.when(F.col("n") > crowd, paired).otherwise(F.col("value"))).drop("own", "other")
 
 
 def bucketed_links(rows: DataFrame, most: int) -> DataFrame:

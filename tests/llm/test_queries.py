@@ -181,6 +181,20 @@ def test_near_duplicates_by_similarity(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 3, 4]
 
 
+def test_crowded_seeds_lose_no_link(spark):
+    from corpusweave.llm import simhash
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 6, np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (6, 12, 5), np.uint64)
+    prints = np.unique(base[:, None] ^ np.bitwise_xor.reduce(flips, axis=2))
+    rows = [(int(f), [7, *(10 * i + k for k in range(1, simhash.BANDS))]) for i, f in enumerate(prints.view(np.int64))]
+    at = {f: i for i, (f, _) in enumerate(rows)}
+    made = simhash.seeded_links(spark.createDataFrame(rows, "f long, seeds array<long>"), 8, crowd=9).collect()
+    every = [(i, j) for i in range(len(prints)) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 8]
+    assert every and _groups(len(prints), [(at[r["a"]], at[r["b"]]) for r in made]) == _groups(len(prints), every)
+
+
 def luhn(digits):
     total = 0
     for k, c in enumerate(reversed(digits)):
