@@ -18,11 +18,13 @@ themselves and their one-bit neighbours, and two within two bits share such a va
 members share one, so no group is large (for ``most`` above 2 crowds are refused). Components come
 from the links by star rounds with checkpoints. No fingerprints or links go to the driver.
 
-At the wide radius that a similarity of 0.8 means (``bits_for``: 13 of 64), no choice of equal
-parts is selective. ``near_duplicates(similarity=...)`` takes its buckets from seeds instead: the
-two least of the same shingle hashes under each of ``BANDS`` seeded orders, which texts of Jaccard
-similarity 0.8 share in one order at least with probability above 0.999. Within a bucket all is as
-above. A crowded bucket is dealt to blocks and every two blocks meet, so each pair is compared.
+``near_duplicates(similarity=...)`` links texts whose sets of shingle hashes have that Jaccard
+similarity. Distinct sets are the nodes. Buckets come from seeds: the two least of the shingle
+hashes under each of ``BANDS`` seeded orders, which texts of Jaccard similarity 0.8 share in one
+order at least with probability above 0.999. Every link is verified on both whole sets; no
+fingerprint decides. Each bucket's members are first compared with its least one. Buckets that then
+lie in one component are done; in the others all pairs of different components are compared. A
+crowded bucket is dealt to blocks and every two blocks meet.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and ties
 share fingerprint and component; an empty table gives an empty result; rows without ``doc_id``
@@ -50,6 +52,7 @@ PIVOTS = 16
 CROWD = 2000
 SEED = 42
 BANDS = 8
+BROADCAST_TEXTS = 500_000
 _SLICE = 1 << 15
 
 
@@ -84,25 +87,32 @@ def seeds(hashes: np.ndarray, bands: int = BANDS) -> list[int]:
     return mix(np.array(least[::2]) * np.uint64(31) + np.array(least[1::2])).view(np.int64).tolist()
 
 
-def bits_for(similarity: float) -> int:
-    """Bits that fingerprints at this cosine similarity differ in, on the average."""
-    return int(64 * math.acos(similarity) / math.pi)
+def set_hash(shingles: np.ndarray) -> int:
+    """The signed hash of a set of shingle hashes, given sorted."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE, bands: int = 0) -> DataFrame:
-    """``docs`` with ``fingerprint`` as a signed long and, with ``bands``, ``seeds``."""
+    """``docs`` with ``fingerprint`` as a signed long and, with ``bands``, ``seeds`` and ``node``, the hash of the shingle set."""
     name, keys, at = fresh(docs, "fingerprint"), fresh(docs, "seeds"), docs.columns.index(text)
     out = docs.withColumn(name, F.lit(0).cast("long")).withColumn(keys, F.lit(None).cast("array<long>"))
+    if bands:
+        out = out.withColumn(fresh(out, "node"), F.lit(0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, own = [], []
+            prints, own, nodes = [], [], []
             for block in blocks(batch.column(at)):
                 for i in range(block.last - block.first):
                     hashes = shingle_hashes(block.text(i), width)
                     prints.append(vote(hashes))
                     own.append(seeds(hashes, bands) if bands else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(own, pa.list_(pa.int64()))], schema=batch.schema)
+                    if bands:
+                        nodes.append(set_hash(np.unique(hashes)))
+            made = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(own, pa.list_(pa.int64())), *([pa.array(nodes, pa.int64())] if bands else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: -len(made)], *made], schema=batch.schema)
 
     return out.mapInArrow(run, out.schema)
 
@@ -185,11 +195,100 @@ def links(distinct: DataFrame, n: int, most: int = MOST_BITS, crowd: int = CROWD
     return plain
 
 
-def seeded_links(distinct: DataFrame, most: int, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) of distinct fingerprints ``f`` within ``most`` bits that share a seed of ``seeds``."""
-    rows = distinct.select("f", F.posexplode("seeds").alias("band", "value"))
-    met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return bucketed_links(in_blocks(rows.join(met, ["band", "value"]), crowd), most)
+def shingle_sets(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """``f`` (the set's hash) and ``shingles`` (sorted) of every row of ``texts`` (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(0)):
+                sets = [np.unique(shingle_hashes(block.text(i), width)) for i in range(block.last - block.first)]
+                bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_hash, sets), pa.int64()), listed], ["f", "shingles"])
+        pa.default_memory_pool().release_unused()
+
+    return texts.select("text").mapInArrow(run, "f long, shingles array<long>")
+
+
+def similar_links(rows: DataFrame, sets: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) that connect what has the Jaccard ``similarity`` and shares a bucket (band, value) of ``rows``; ``sets`` has the shingles of each ``f``."""
+    met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("a")).filter("n > 1")
+    rows = cut(rows.join(met, ["band", "value"]))
+    one, two = sets.select(F.col("f").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("f").alias("b"), F.col("shingles").alias("y"))
+    pairs = rows.filter("f != a").select("a", F.col("f").alias("b")).distinct().join(two, "b").join(one, "a")
+    both = F.size(F.array_intersect("x", "y"))
+    stars = cut(pairs.filter(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b"))
+    named = rows.filter("n > 2").join(components(stars), F.col("f") == F.col("node"), "left").select("band", "value", "f", "n", F.coalesce("component", "f").alias("component"))
+    undone = cut(named.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("band", "value"))
+    more = compared(in_blocks(named.join(undone, ["band", "value"], "left_semi"), crowd).join(sets, "f"), similarity)
+    return stars.unionAll(more).mapInArrow(lambda batches: batches, "a long, b long")  # new columns, as Spark can't carry the checkpoint's constraints through the unions of components
+
+
+def cross_links(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions of similar sets that connect the groups; members of one group count as connected."""
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    free, mask, out = np.ones(len(sets), bool), np.zeros(len(ids), bool), []
+    members = {int(g): np.flatnonzero(group == g).tolist() for g in np.unique(group)}
+    for start in members:
+        if not free[members[start][0]]:
+            continue
+        queue = list(members[start])
+        free[queue] = False
+        while queue and free.any():
+            x = queue.pop()
+            left = np.flatnonzero(free & (np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x]) - 1))
+            if not len(left):
+                continue
+            own = ids[bounds[x] : bounds[x + 1]]
+            mask[own] = True
+            if len(left) < 32:
+                both = np.array([np.count_nonzero(mask[ids[bounds[y] : bounds[y + 1]]]) for y in left])
+            else:
+                upto = np.concatenate([[0], np.cumsum(mask[ids])])
+                both = upto[bounds[left + 1]] - upto[bounds[left]]
+            mask[own] = False
+            for y in left[both / np.maximum(1, sizes[left] + sizes[x] - both) >= similarity].tolist():
+                if free[y]:
+                    out.append((x, y))
+                    queue += members[int(group[y])]
+                    free[members[int(group[y])]] = False
+    return out
+
+
+def compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components of every bucket (band, value) of ``f``, ``component`` and ``shingles``."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def links_of(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        f, group = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (2, 3))
+        if (group == group[0]).all():
+            return []
+        sets = [np.asarray(y) for x in held for y in np.split(x.column(4).flatten().to_numpy(), np.cumsum(x.column(4).value_lengths().to_numpy())[:-1])]
+        return [(int(f[i]), int(f[j])) for i, j in cross_links(sets, group, similarity)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        as_batch = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, value = (batch.column(k).to_numpy() for k in (0, 1))
+            edge = np.flatnonzero((band[1:] != band[:-1]) | (value[1:] != value[:-1])) + 1
+            out = []
+            for a, b in itertools.pairwise([0, *edge.tolist(), len(band)]):
+                if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (band[a], value[a]):
+                    out += links_of(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+            yield as_batch(out)
+        if held:
+            yield as_batch(links_of(held))
+        held.clear()
+        pa.default_memory_pool().release_unused()
+
+    return rows.select(F.col("band").cast("long").alias("band"), "value", "f", "component", "shingles").repartition(width, "band", "value").sortWithinPartitions("band", "value").mapInArrow(run, "a long, b long")
 
 
 def in_blocks(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -236,16 +335,37 @@ def bucketed_links(rows: DataFrame, most: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE, text: str = "text", similarity: float | None = None) -> DataFrame:
     """``doc_id``, ``fingerprint`` (long) and ``component_id`` of every row of ``docs``.
 
-    Links are at ``most`` bits, all of them; or, with ``similarity``, at its bits among texts that share a seed.
+    Links are at ``most`` bits, all of them; or, with ``similarity``, at that Jaccard similarity of shingle sets among texts that share a seed.
     """
-    made = with_fingerprints(docs.select("doc_id", F.col(text).alias("text")), width=width, bands=BANDS if similarity else 0)
+    if similarity:
+        return _similar(docs.select("doc_id", F.col(text).alias("text")), similarity, width)
+    made = with_fingerprints(docs.select("doc_id", F.col(text).alias("text")), width=width)
     prints = cut(made.select("doc_id", F.col("fingerprint").alias("f"), "seeds"))
     distinct = cut(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.min("seeds").alias("seeds")))
-    found = components(seeded_links(distinct, bits_for(similarity)) if similarity else links(distinct.select("f"), distinct.count(), most))
+    found = components(links(distinct.select("f"), distinct.count(), most))
+    return _with_components(prints.withColumn("fingerprint", F.col("f")), distinct, found)
+
+
+def _similar(docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Components of ``docs`` (doc_id, text) by Jaccard similarity; shingles are made anew for the sets that share a bucket with another."""
+    docs = docs.withColumn("t", F.xxhash64("text"))
+    prints = cut(with_fingerprints(docs, width=width, bands=BANDS).select("doc_id", "t", "fingerprint", "seeds", F.col("node").alias("f")))
+    distinct = cut(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "t")).alias("one"), F.min("seeds").alias("seeds")))
+    rows = distinct.select("f", F.posexplode("seeds").alias("band", "value"))
+    met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    needed = cut(distinct.join(rows.join(met, ["band", "value"]).select("f").distinct(), "f", "left_semi").select(F.col("one.doc_id").alias("id"), F.col("one.t").alias("at")))
+    needed = F.broadcast(needed) if needed.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else needed
+    texts = docs.join(needed, (F.col("t") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = cut(shingle_sets(texts, width).groupBy("f").agg(F.first("shingles").alias("shingles")))
+    return _with_components(prints, distinct, components(similar_links(rows, sets, similarity)))
+
+
+def _with_components(prints: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id``, ``fingerprint`` and ``component_id`` of ``prints`` by their node ``f``."""
     named = distinct.join(found, distinct["f"] == found["node"], "left").select("f", "least", F.coalesce("component", "f").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = cut(named.join(smallest, "component").select("f", "component_id"))
-    return prints.join(ids, "f").select("doc_id", F.col("f").alias("fingerprint"), "component_id")
+    return prints.join(ids, "f").select("doc_id", "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:

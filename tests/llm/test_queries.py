@@ -181,18 +181,41 @@ def test_near_duplicates_by_similarity(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 3, 4]
 
 
+def jaccard_groups(sets, least):
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least]
+    return _groups(len(sets), every), every
+
+
 def test_crowded_seeds_lose_no_link(spark):
     from corpusweave.llm import simhash
 
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 1 << 64, 6, np.uint64)
-    flips = np.uint64(1) << rng.integers(0, 64, (6, 12, 5), np.uint64)
-    prints = np.unique(base[:, None] ^ np.bitwise_xor.reduce(flips, axis=2))
-    rows = [(int(f), [7, *(10 * i + k for k in range(1, simhash.BANDS))]) for i, f in enumerate(prints.view(np.int64))]
-    at = {f: i for i, (f, _) in enumerate(rows)}
-    made = simhash.seeded_links(spark.createDataFrame(rows, "f long, seeds array<long>"), 8, crowd=9).collect()
-    every = [(i, j) for i in range(len(prints)) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 8]
-    assert every and _groups(len(prints), [(at[r["a"]], at[r["b"]]) for r in made]) == _groups(len(prints), every)
+    sets = [set(range(100 * g, 100 * g + 20)) - set(rng.choice(20, k, replace=False) + 100 * g) for g in range(6) for k in rng.integers(0, 8, 12)]
+    rows = spark.createDataFrame([(i, 0, 7) for i in range(len(sets))], "f long, band int, value long")
+    made = spark.createDataFrame([(i, sorted(map(int, x))) for i, x in enumerate(sets)], "f long, shingles array<long>")
+    want, every = jaccard_groups(sets, 0.8)
+    for crowd in (9, 2000):
+        got = [(r["a"], r["b"]) for r in simhash.similar_links(rows, made, 0.8, crowd).collect()]
+        assert every and set(map(lambda p: tuple(sorted(p, reverse=True)), got)) <= set(every) and _groups(len(sets), got) == want
+
+
+def test_near_duplicates_are_exactly_those_of_the_shingle_sets(spark):
+    """Pairs on both sides of 0.8, which fingerprints can't tell apart."""
+    from corpusweave.llm import simhash
+    import random
+
+    rng, rows = random.Random(3), []
+    for g in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        for changed in (0, 4, 5, 8, 12):
+            near = words.copy()
+            for k in range(changed):
+                near[8 + 15 * k] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(near)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = jaccard_groups(sets, 0.8)[0]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=5, similarity=0.8)
+    assert [c for _, c in sorted((r["doc_id"], r["component_id"]) for r in found.collect())] == want
 
 
 def luhn(digits):
