@@ -38,6 +38,22 @@ def test_query(spark, con, name):
     assert sorted(plain(tuple(r)) for r in got.select(*want.columns).collect()) == sorted(plain(r) for r in want.fetchall())
 
 
+def test_every_part_name_is_scored(spark):
+    """The shortlist of each distinct name over all names, by plain code."""
+    from corpusweave.functions.similarity import composite
+    from corpusweave.operators.resolve import FLOOR, SHORTLIST, TIE_BAND
+
+    names = sorted({r[0] for r in spark.read.parquet(f"{FOLDER}/part.parquet").select("p_name").collect()})
+    want = set()
+    for m in names:
+        scores = {n: composite(m, n) for n in names}
+        best = max(scores.values())
+        order = sorted(names, key=lambda n: (best - scores[n] > TIE_BAND, -scores[n], n))
+        want |= {(m, n) for n in [n for n in order if scores[n] >= FLOOR][:SHORTLIST]}
+    got = registry.queries()["x11_fuzzy_score"](spark, FOLDER)
+    assert {(r["mention"], r["name"]) for r in got.collect()} == want and got.select("mention").distinct().count() == len(names)
+
+
 def test_entry(spark):
     import __spark_entry__
 
