@@ -5,19 +5,26 @@ window of ``width`` consecutive item words, or a shorter item's whole sequence,
 set that is broadcast. Documents are scanned batch by batch: rolling hashes of their word windows
 are looked up in the set, and each hit is verified word for word before it counts.
 
-The set is broadcast in blocks of at most ``BLOCK_WINDOWS`` windows, so what a task holds has a
-fixed bound; a benchmark of more blocks is scanned block after block within the same stage and the
-hits are united. There is no shuffle: a document's result depends on its row alone, so hot sources
-and repeated rows cost what other rows cost, and a lost task is simply run again.
+The set is flat arrays (sorted hashes, places in the items' normalised texts), about 26 bytes a
+window and the texts, and is broadcast in blocks of about ``BLOCK_WINDOWS`` windows, at least one
+item each. A benchmark of more blocks is scanned in as many stages, each written to the checkpoint
+folder before the next, so a worker holds one block at a time; the hits are united. There is no
+shuffle: a document's result depends on its row alone, so hot sources and repeated rows cost what
+other rows cost, and a lost task is simply run again.
+
+``decontaminate`` drops a document that holds a whole window of ``width`` words of any item, however
+long the document is, since that much verbatim text is no accident; windows of shorter items count
+by their share of the document's words only. Or it cuts the hit runs and keeps the documents.
 
 Nulls and empty texts have no words and are never contaminated; rows of equal content give equal
-results; a null ``item_id`` marks words but is not listed; empty tables give empty results or
+results; a null ``item_id`` marks words but is not listed; columns may clash in case; empty tables give empty results or
 clean documents. Other columns of the documents are kept as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusweave.llm.frames import fresh, pick
-from corpusweave.llm.textblocks import LOWER, Block, blocks, rolling, whole_windows
+from corpusweave.llm.frames import apart, cut, fresh, pick
+from corpusweave.llm.textblocks import LOWER, Block, blocks, lean, rolling, whole_windows
 
 WIDTH = 13
-BLOCK_WINDOWS = 500_000
+BLOCK_WINDOWS = 1_000_000
 
 PARTS = np.ones(256, bool)
 PARTS[48:58] = PARTS[97:123] = PARTS[128:] = False
@@ -44,34 +51,53 @@ def words_of(text: bytes) -> list[bytes]:
     return [block.data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
 
 
+@dataclass
+class Windows:
+    """All windows of one length: sorted hashes, bounds in the items' text, places of the items, a bit for each leading part of a hash."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    owners: np.ndarray
+    first: np.ndarray
+    shift: np.uint64
+
+
 class WindowSet:
     """Windows of benchmark items, by length, with the items each belongs to."""
 
     def __init__(self):
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
+        self.items: list[str | None] = []
+        self.text = bytearray()
+        self.windows: dict[int, list[tuple[np.ndarray, ...]]] = {}
         self.n = 0
 
     def add(self, item: str | None, words: list[bytes], width: int) -> None:
         m = min(width, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            owners = self.windows.setdefault(m, {}).setdefault(b" ".join(words[i : i + m]), set())
-            self.n += not owners
-            if item is not None:
-                owners.add(item)
-
-    def tables(self) -> dict[int, tuple[np.ndarray, np.ndarray, dict[bytes, list[str]]]]:
-        """By length: the sorted hashes, a bit for each of their leading 20 bits, the windows."""
+        if not m:
+            return
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        text = b" ".join(words)
+        block = Block(0, 1, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        hashes = rolling(block.span_hashes(starts, ends), m)
+        base = len(self.text)
+        self.windows.setdefault(m, []).append((hashes, starts[: len(hashes)] + base, ends[m - 1 :] + base, np.full(len(hashes), len(self.items), np.int32)))
+        self.items.append(item)
+        self.text += text
+        self.n += len(hashes)
+
+    def tables(self) -> tuple[bytes, list[str | None], dict[int, Windows]]:
+        """The items' text, their names, and the windows by length."""
         out = {}
         for m, found in self.windows.items():
-            text = b"\0".join(found) + b"\0"
-            parts = np.zeros(256, bool)
-            parts[[0, 32]] = True
-            s, e, _ = Block(0, 1, np.frombuffer(text, np.uint8), np.array([0, len(text)])).words(parts)
-            h = rolling(Block(0, 1, np.frombuffer(text, np.uint8), np.array([0, len(text)])).span_hashes(s, e), m)[::m]
-            first = np.zeros(1 << 20, bool)
-            first[h >> np.uint64(44)] = True
-            out[m] = (np.sort(h), first, {k: sorted(v) for k, v in found.items()})
-        return out
+            hashes, starts, ends, owners = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            bits = min(24, max(16, int(8 * len(hashes)).bit_length()))
+            first = np.zeros(1 << bits, bool)
+            first[hashes >> np.uint64(64 - bits)] = True
+            out[m] = Windows(hashes[order], starts[order], ends[order], owners[order], first, np.uint64(64 - bits))
+        return bytes(self.text), self.items, out
 
 
 def window_blocks(benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_WINDOWS) -> Iterator[WindowSet]:
@@ -85,27 +111,33 @@ def window_blocks(benchmark: DataFrame, width: int = WIDTH, most: int = BLOCK_WI
     yield found
 
 
-def scan_block(block: Block, tables: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]]]:
-    """Word starts, ends and text bounds; True at hit words; the items found in each text."""
+def scan_block(block: Block, tables: tuple, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]], set[int]]:
+    """Word starts, ends and text bounds; True at hit words; the items found in each text; the texts with windows of ``width`` words."""
+    text, names, by_length = tables
     low = Block(block.first, block.last, LOWER[block.data], block.bounds)
     starts, ends, texts = low.words(PARTS)
     n = len(starts)
-    change, items = np.zeros(n + 1, np.int32), {}
+    change, items, whole = np.zeros(n + 1, np.int32), {}, set()
     if n:
         hashes = low.span_hashes(starts, ends)
-        for m, (known, first, windows) in tables.items():
+        for m, table in by_length.items():
             h = rolling(hashes, m)
-            at = np.flatnonzero(first[h >> np.uint64(44)])
-            at = at[np.isin(h[at], known, kind="sort")] if len(at) else at
+            at = np.flatnonzero(table.first[h >> table.shift])
             at = at[whole_windows(texts, m, n)[at]] if len(at) else at
+            lo, hi = (np.searchsorted(table.hashes, h[at], side) for side in ("left", "right"))
+            known = np.flatnonzero(hi > lo)
+            at, lo, hi = at[known], lo[known], hi[known]
             owner = np.searchsorted(texts, at, "right") - 1
-            for i, o in zip(at.tolist(), owner.tolist(), strict=True):
-                seen = windows.get(b" ".join(low.data[s:e].tobytes() for s, e in zip(starts[i : i + m], ends[i : i + m], strict=True)))
-                if seen is not None:
+            for i, o, a, b in zip(at.tolist(), owner.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                own = b" ".join(low.data[s:e].tobytes() for s, e in zip(starts[i : i + m], ends[i : i + m], strict=True))
+                seen = [names[table.owners[k]] for k in range(a, b) if text[table.starts[k] : table.ends[k]] == own]
+                if seen:
                     change[i] += 1
                     change[i + m] -= 1
-                    items.setdefault(o, set()).update(seen)
-    return starts, ends, texts, np.cumsum(change[:n]) > 0, items
+                    items.setdefault(o, set()).update(x for x in seen if x is not None)
+                    if m == width:
+                        whole.add(o)
+    return starts, ends, texts, np.cumsum(change[:n]) > 0, items, whole
 
 
 def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -114,12 +146,13 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, most: int = BLOCK_WINDOWS) -> DataFrame:
-    """``docs`` with one struct column ``hits``: n_words, n_hit, items (sorted strings) and spans (UTF-8 byte bounds of hit runs)."""
+    """``docs`` with one struct column ``hits``: n_words, n_hit, items (sorted strings), runs (word bounds of hit runs), spans (their UTF-8 byte bounds) and whole (true with a window of ``width`` words)."""
     spark, column = docs.sparkSession, fresh(docs, "hits")
-    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", RUNS), T.StructField("spans", RUNS)])
+    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", RUNS), T.StructField("spans", RUNS), T.StructField("whole", T.BooleanType())])
     at = docs.columns.index(text)
     out = docs.withColumn(column, F.lit(None).cast(kind))
-    for block_set in window_blocks(benchmark, width, most):
+    for number, block_set in enumerate(window_blocks(benchmark, width, most)):
+        out = cut(out) if number else out
         shipped = spark.sparkContext.broadcast(block_set.tables())
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -127,7 +160,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
             for batch in batches:
                 before, rows = batch.column(batch.num_columns - 1), []
                 for block in blocks(batch.column(at)):
-                    starts, ends, texts, hit, items = scan_block(block, tables)
+                    starts, ends, texts, hit, items, whole = scan_block(block, tables, width)
                     for i in range(block.last - block.first):
                         lo, hi = int(texts[i]), int(texts[i + 1])
                         mine, found, base = hit[lo:hi], items.get(i, set()), int(block.bounds[i])
@@ -137,27 +170,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
                             for r in old["runs"]:
                                 mine[r["start"] : r["end"]] = True
                         runs = _runs(mine) if mine.any() else []
-                        rows.append({"n_words": hi - lo, "n_hit": int(mine.sum()), "items": sorted(found), "runs": [{"start": a, "end": b} for a, b in runs], "spans": [{"start": int(starts[lo + a]) - base, "end": int(ends[lo + b - 1]) - base} for a, b in runs]})
+                        rows.append({"n_words": hi - lo, "n_hit": int(mine.sum()), "items": sorted(found), "runs": [{"start": a, "end": b} for a, b in runs], "spans": [{"start": int(starts[lo + a]) - base, "end": int(ends[lo + b - 1]) - base} for a, b in runs], "whole": i in whole or bool(old and old["whole"])})
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, before.type)], schema=batch.schema)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(lean(run), out.schema)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", share: float = 0.05, width: int = WIDTH) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) with hit runs cut from their texts.
 
-    A document is contaminated when at least ``share`` of its words, and one at least, are hit.
+    A document is contaminated when a window of ``width`` words is hit, or at least ``share`` of its words, and one at least, are.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(remove)
-    found = scan(docs, benchmark, width=width)
+    found = scan(apart(docs, "text"), benchmark, width=width)
     hits = found.columns[-1]
     if remove == "documents":
-        bad = (F.col(f"{hits}.n_hit") > 0) & (F.col(f"{hits}.n_hit") >= F.lit(share) * F.col(f"{hits}.n_words"))
-        return found.filter(~F.coalesce(bad, F.lit(False))).drop(hits)
+        bad = F.col(f"{hits}.whole") | ((F.col(f"{hits}.n_hit") > 0) & (F.col(f"{hits}.n_hit") >= F.lit(share) * F.col(f"{hits}.n_words")))
+        return found.filter(~F.coalesce(bad, F.lit(False))).drop(hits).toDF(*docs.columns)
     raw = F.col("text").cast("binary")
     bounds = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col(f"{hits}.spans"), F.array(F.struct(F.octet_length("text").alias("start"), F.octet_length("text").alias("end"))))
     pieces = F.transform(F.sequence(F.lit(2), F.size(bounds)), lambda i: F.substring(raw, F.element_at(bounds, i - 1)["end"] + 1, F.element_at(bounds, i)["start"] - F.element_at(bounds, i - 1)["end"]))
     rest = F.aggregate(pieces, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).cast("string")
-    return found.withColumn("text", F.when(F.col(f"{hits}.n_hit") > 0, rest).otherwise(F.col("text"))).drop(hits)
+    return found.withColumn("text", F.when(F.col(f"{hits}.n_hit") > 0, rest).otherwise(F.col("text"))).drop(hits).toDF(*docs.columns)

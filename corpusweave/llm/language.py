@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm.frames import fresh, pick
-from corpusweave.llm.textblocks import LOWER, Block, blocks, mix
+from corpusweave.llm.textblocks import LOWER, Block, blocks, lean, mix
 
 SAMPLE = 20_000
 TRI_BITS, WORD_BITS = 16, 17
@@ -235,4 +235,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores += b
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(langs, batch.schema.field(batch.num_columns - 2).type), pa.array(scores, pa.float64())], schema=batch.schema)
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(lean(run), out.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusweave.llm.frames import fresh
-from corpusweave.llm.textblocks import SPACE, Block, blocks, mix, rolling, whole_windows
+from corpusweave.llm.textblocks import SPACE, Block, blocks, lean, mix, rolling, whole_windows
 
 LEVEL = 3
 CHUNK = 4096
@@ -101,7 +101,7 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = [r for block in blocks(batch.column(at)) for r in measure(block, compressor)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, batch.schema.field(batch.num_columns - 1).type)], schema=batch.schema)
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(lean(run), out.schema)
 
 
 def base_failed(q: str = "quality"):

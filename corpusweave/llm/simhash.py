@@ -15,20 +15,24 @@ verified bit by bit. A bucket gives a spanning set of its links, never all pairs
 
 A bucket of over ``CROWD`` distinct fingerprints isn't compared pair by pair: its members list
 themselves and their one-bit neighbours, and two within two bits share such a value; at most 65
-members share one, so no group is large (for ``most`` above 2 crowds are refused). Components come
-from the links by star rounds with checkpoints. No fingerprints or links go to the driver.
+members share one, so no group is large (for ``most`` above 2 a crowd is dealt to blocks and every
+two blocks meet). Components come from the links by star rounds with checkpoints. No fingerprints
+or links go to the driver, but for the hot keys of a join, fewer than a thousand.
 
 ``near_duplicates(similarity=...)`` links texts whose sets of shingle hashes have that Jaccard
 similarity. Distinct sets are the nodes. Buckets come from seeds: the two least of the shingle
 hashes under each of ``BANDS`` seeded orders, which texts of Jaccard similarity 0.8 share in one
-order at least with probability above 0.999. Every link is verified on both whole sets; no
-fingerprint decides. Each bucket's members are first compared with its least one. Buckets that then
-lie in one component are done; in the others all pairs of different components are compared. A
-crowded bucket is dealt to blocks and every two blocks meet.
+order at least with probability above 0.999. Each bucket's members are first compared with its
+least one. Buckets that then lie in one component are done; in the others the members outside the
+least one's component are compared with all. A bucket of over ``CROWD_SHINGLES`` is dealt to blocks
+of half of that and these meet pairwise. Within a block, pairs go through the pivot tables and the
+fingerprints (of the sets) at ``RADIUS`` bits, which pairs of similarity 0.8 exceed with
+probability below 0.0001; what is left is verified on both whole sets, and only that decides.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and ties
 share fingerprint and component; an empty table gives an empty result; rows without ``doc_id``
-have a fingerprint but never are a component's smallest id; other columns are kept.
+have a fingerprint but never are a component's smallest id (a component of such rows alone has
+none); other columns are kept.
 """
 
 from __future__ import annotations
@@ -43,13 +47,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm.components import components
-from corpusweave.llm.frames import cut, fresh
-from corpusweave.llm.textblocks import blocks, mix
+from corpusweave.llm.frames import apart, cut, join_salted
+from corpusweave.llm.textblocks import blocks, lean, mix
 
 MOST_BITS = 2
 SHINGLE = 3
 PIVOTS = 16
 CROWD = 2000
+CROWD_SHINGLES = 1_000_000
+RADIUS = 26
 SEED = 42
 BANDS = 8
 BROADCAST_TEXTS = 500_000
@@ -94,27 +100,37 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE, bands: int = 0) -> DataFrame:
-    """``docs`` with ``fingerprint`` as a signed long and, with ``bands``, ``seeds`` and ``node``, the hash of the shingle set."""
-    name, keys, at = fresh(docs, "fingerprint"), fresh(docs, "seeds"), docs.columns.index(text)
-    out = docs.withColumn(name, F.lit(0).cast("long")).withColumn(keys, F.lit(None).cast("array<long>"))
-    if bands:
-        out = out.withColumn(fresh(out, "node"), F.lit(0).cast("long"))
+def with_fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
+    """``docs`` without ``text`` and with ``f``, the fingerprint as a signed long."""
+    out = docs.select(*(c for c in docs.columns if c != text), F.lit(0).cast("long").alias("f"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, own, nodes = [], [], []
-            for block in blocks(batch.column(at)):
+            prints = [fingerprint(block.text(i), width) for block in blocks(batch.column(batch.num_columns - 1)) for i in range(block.last - block.first)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(np.array(prints, np.uint64).view(np.int64))], schema=pa.schema(list(batch.schema)[:-1]))
+
+    return out.mapInArrow(lean(run), out.drop(text).schema)
+
+
+SKETCH = "f long, p long, size int, seeds array<long>"
+
+
+def sketched(docs: DataFrame, width: int, text: str = "text", bands: int = BANDS) -> DataFrame:
+    """``docs`` without ``text`` and with its shingle set's hash ``f``, fingerprint ``p``, ``size`` and ``seeds``."""
+    rest = [c for c in docs.columns if c != text]
+    out = docs.select(*rest, F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("p"), F.lit(0).alias("size"), F.array().cast("array<long>").alias("seeds"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for block in blocks(batch.column(batch.num_columns - 1)):
                 for i in range(block.last - block.first):
-                    hashes = shingle_hashes(block.text(i), width)
-                    prints.append(vote(hashes))
-                    own.append(seeds(hashes, bands) if bands else None)
-                    if bands:
-                        nodes.append(set_hash(np.unique(hashes)))
-            made = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(own, pa.list_(pa.int64())), *([pa.array(nodes, pa.int64())] if bands else [])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: -len(made)], *made], schema=batch.schema)
+                    shingles = np.unique(shingle_hashes(block.text(i), width))
+                    made.append((set_hash(shingles), _signed(vote(shingles)), len(shingles), seeds(shingles, bands)))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([x[k] for x in made], t) for k, t in enumerate(kinds))], [*rest, "f", "p", "size", "seeds"])
 
-    return out.mapInArrow(run, out.schema)
+    return docs.select(*rest, text).mapInArrow(lean(run), out.schema)
 
 
 def pivots(n: int = PIVOTS, seed: int = SEED) -> np.ndarray:
@@ -187,7 +203,7 @@ def links(distinct: DataFrame, n: int, most: int = MOST_BITS, crowd: int = CROWD
     crowded = rows.filter(F.col("n") > crowd).select("f").distinct()
     if crowded.limit(1).count():
         if most > 2:
-            raise ValueError(f"buckets of over {crowd} distinct fingerprints need most <= 2")
+            return plain.unionAll(bucketed_links(in_blocks(rows.filter(F.col("n") > crowd), crowd), most))
         flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)).cast("long") for i in range(64)))
         near = crowded.select("f", F.explode(F.transform(flips, lambda x: F.col("f").bitwiseXOR(x))).alias("near"))
         groups = near.groupBy("near").agg(F.collect_list("f").alias("fs"))
@@ -205,30 +221,51 @@ def shingle_sets(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
                 bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(map(set_hash, sets), pa.int64()), listed], ["f", "shingles"])
-        pa.default_memory_pool().release_unused()
 
-    return texts.select("text").mapInArrow(run, "f long, shingles array<long>")
+    return texts.select("text").mapInArrow(lean(run), "f long, shingles array<long>")
 
 
-def similar_links(rows: DataFrame, sets: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) that connect what has the Jaccard ``similarity`` and shares a bucket (band, value) of ``rows``; ``sets`` has the shingles of each ``f``."""
-    met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("a")).filter("n > 1")
+def similar_links(rows: DataFrame, sets: DataFrame, similarity: float, crowd: int = CROWD_SHINGLES) -> DataFrame:
+    """Links (a, b) that connect what has the Jaccard ``similarity`` and shares a bucket.
+
+    ``rows``: ``band`` and ``value`` of the bucket, ``f``, its fingerprint ``p`` and its set's ``size``; ``sets``: the ``shingles`` of each ``f``.
+    """
+    met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("f", "p")).alias("first")).filter("n > 1")
     rows = cut(rows.join(met, ["band", "value"]))
+    near = F.bit_count(F.col("p").bitwiseXOR(F.col("first.p"))) <= RADIUS
     one, two = sets.select(F.col("f").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("f").alias("b"), F.col("shingles").alias("y"))
-    pairs = rows.filter("f != a").select("a", F.col("f").alias("b")).distinct().join(two, "b").join(one, "a")
+    pairs = cut(rows.filter((F.col("f") != F.col("first.f")) & near).select(F.col("first.f").alias("a"), F.col("f").alias("b")).distinct())
     both = F.size(F.array_intersect("x", "y"))
-    stars = cut(pairs.filter(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b"))
-    named = rows.filter("n > 2").join(components(stars), F.col("f") == F.col("node"), "left").select("band", "value", "f", "n", F.coalesce("component", "f").alias("component"))
-    undone = cut(named.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("band", "value"))
-    more = compared(in_blocks(named.join(undone, ["band", "value"], "left_semi"), crowd).join(sets, "f"), similarity)
-    return stars.unionAll(more).mapInArrow(lambda batches: batches, "a long, b long")  # new columns, as Spark can't carry the checkpoint's constraints through the unions of components
-
-
-def cross_links(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    stars = cut(join_salted(pairs, one, "a", "b").join(two, "b").filter(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b"))
+    joined = components(stars)
+    named = rows.filter("n > 2").join(joined, F.col("f") == F.col("node"), "left").select("band", "value", "f", "p", "size", F.coalesce("component", "f").alias("component"))
+    state = named.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "f").alias("main"))
+    undone = cut(named.join(state.filter("low != high").select("band", "value", "main"), ["band", "value"]).withColumn("late", F.col("component") != F.col("main")).drop("main"))
+    more = compared(late_blocks(undone, crowd).join(sets, "f"), similarity)
+    return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more).mapInArrow(lambda batches: batches, "a long, b long")  # new columns, as Spark can't carry the checkpoint's constraints through the unions of components
+
+
+def late_blocks(rows: DataFrame, crowd: int = CROWD_SHINGLES) -> DataFrame:
+    """Buckets of over ``crowd`` shingles dealt by ``f`` to blocks: each of ``late`` rows meets each of the others and each of late rows, under a value of its own."""
+    weight = lambda late: F.ceil(2 * F.sum(F.when(F.col("late") == late, F.col("size") + 16).otherwise(0)) / F.lit(crowd)).cast("int")
+    blocked = rows.groupBy("band", "value").agg(weight(False).alias("mains"), weight(True).alias("lates"))
+    met = rows.join(blocked, ["band", "value"])
+    deal = lambda most: F.pmod(F.xxhash64(F.lit(SEED), "f"), F.greatest(F.lit(1), most)).cast("int")
+    each = lambda most, value: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), most) - 1), value)
+    key = lambda kind, x, y: F.xxhash64("value", F.lit(kind), x.cast("int"), y.cast("int"))
+    mine = F.col("own")
+    late = F.concat(each(F.col("mains"), lambda i: key("main", i, mine)), each(F.col("lates"), lambda i: key("late", F.least(i, mine), F.greatest(i, mine))))
+    places = F.when(F.col("mains") + F.col("lates") <= 2, F.array("value")).when(F.col("late"), late).otherwise(each(F.col("lates"), lambda i: key("main", mine, i)))
+    dealt = met.withColumn("own", F.when(F.col("late"), deal(F.col("lates"))).otherwise(deal(F.col("mains"))))
+    return dealt.select("band", F.explode(places).alias("value"), "f", "p", "component")
+
+
+def cross_links(sets: list[np.ndarray], group: np.ndarray, prints: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Pairs of positions of similar sets that connect the groups; members of one group count as connected."""
     sizes = np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
+    table = pivot_table(prints, pivots())
     free, mask, out = np.ones(len(sets), bool), np.zeros(len(ids), bool), []
     members = {int(g): np.flatnonzero(group == g).tolist() for g in np.unique(group)}
     for start in members:
@@ -239,15 +276,13 @@ def cross_links(sets: list[np.ndarray], group: np.ndarray, similarity: float) ->
         while queue and free.any():
             x = queue.pop()
             left = np.flatnonzero(free & (np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x]) - 1))
+            left = left[(np.abs(table[left] - table[x]) <= RADIUS).all(1)]
+            left = left[np.bitwise_count(prints[left] ^ prints[x]) <= RADIUS]
             if not len(left):
                 continue
             own = ids[bounds[x] : bounds[x + 1]]
             mask[own] = True
-            if len(left) < 32:
-                both = np.array([np.count_nonzero(mask[ids[bounds[y] : bounds[y + 1]]]) for y in left])
-            else:
-                upto = np.concatenate([[0], np.cumsum(mask[ids])])
-                both = upto[bounds[left + 1]] - upto[bounds[left]]
+            both = np.array([np.count_nonzero(mask[ids[bounds[y] : bounds[y + 1]]]) for y in left])
             mask[own] = False
             for y in left[both / np.maximum(1, sizes[left] + sizes[x] - both) >= similarity].tolist():
                 if free[y]:
@@ -258,15 +293,15 @@ def cross_links(sets: list[np.ndarray], group: np.ndarray, similarity: float) ->
 
 
 def compared(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between components of every bucket (band, value) of ``f``, ``component`` and ``shingles``."""
+    """Links (a, b) between components of every bucket (band, value) of ``f``, ``p``, ``component`` and ``shingles``."""
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def links_of(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        f, group = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (2, 3))
+        f, group, prints = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (2, 3, 4))
         if (group == group[0]).all():
             return []
-        sets = [np.asarray(y) for x in held for y in np.split(x.column(4).flatten().to_numpy(), np.cumsum(x.column(4).value_lengths().to_numpy())[:-1])]
-        return [(int(f[i]), int(f[j])) for i, j in cross_links(sets, group, similarity)]
+        sets = [np.asarray(y) for x in held for y in np.split(x.column(5).flatten().to_numpy(), np.cumsum(x.column(5).value_lengths().to_numpy())[:-1])]
+        return [(int(f[i]), int(f[j])) for i, j in cross_links(sets, group, prints.view(np.uint64), similarity)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -286,9 +321,8 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield as_batch(links_of(held))
         held.clear()
-        pa.default_memory_pool().release_unused()
 
-    return rows.select(F.col("band").cast("long").alias("band"), "value", "f", "component", "shingles").repartition(width, "band", "value").sortWithinPartitions("band", "value").mapInArrow(run, "a long, b long")
+    return rows.select(F.col("band").cast("long").alias("band"), "value", "f", "component", "p", "shingles").repartition(width, "band", "value").sortWithinPartitions("band", "value").mapInArrow(lean(run), "a long, b long")
 
 
 def in_blocks(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -329,7 +363,7 @@ def bucketed_links(rows: DataFrame, most: int) -> DataFrame:
         if len(held[0]):
             yield flush(*held)
 
-    return rows.select(F.col("band").cast("long").alias("band"), "value", "f").repartition(width, "band", "value").sortWithinPartitions("band", "value", "f").mapInArrow(run, "a long, b long")
+    return rows.select(F.col("band").cast("long").alias("band"), "value", "f").repartition(width, "band", "value").sortWithinPartitions("band", "value", "f").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE, text: str = "text", similarity: float | None = None) -> DataFrame:
@@ -337,42 +371,62 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE
 
     Links are at ``most`` bits, all of them; or, with ``similarity``, at that Jaccard similarity of shingle sets among texts that share a seed.
     """
+    docs = docs.select("doc_id", F.col(text).alias("text"))
     if similarity:
-        return _similar(docs.select("doc_id", F.col(text).alias("text")), similarity, width)
-    made = with_fingerprints(docs.select("doc_id", F.col(text).alias("text")), width=width)
-    prints = cut(made.select("doc_id", F.col("fingerprint").alias("f"), "seeds"))
-    distinct = cut(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.min("seeds").alias("seeds")))
+        prints, named = _similar(docs, similarity, width)
+        ids = named.select("f", F.col("p").alias("fingerprint"), F.col("component.id").alias("component_id"))
+        return join_salted(prints.select("doc_id", "f"), cut(ids), "f", "doc_id").select("doc_id", "fingerprint", "component_id")
+    prints = cut(with_fingerprints(docs, width=width))
+    distinct = cut(prints.groupBy("f").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"))).alias("least")))
     found = components(links(distinct.select("f"), distinct.count(), most))
-    return _with_components(prints.withColumn("fingerprint", F.col("f")), distinct, found)
+    ids = _named(distinct, found).select("f", F.col("component.id").alias("component_id"))
+    return join_salted(prints, cut(ids), "f", "doc_id").select("doc_id", F.col("f").alias("fingerprint"), "component_id")
+
+
+def _named(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``distinct`` (f, least) with ``component``: the smallest ``least`` of its component in ``found`` (node, component), which breaks ties by ``f``."""
+    named = cut(distinct.join(found, distinct["f"] == found["node"], "left").withColumn("root", F.coalesce("component", "f")).drop("node", "component"))
+    smallest = named.groupBy("root").agg(F.min(F.struct("least.missing", "least.id", "f")).alias("component"))
+    return join_salted(named, smallest, "root", "f").drop("root")
+
 
+def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text) as (doc_id, text hash ``t``, node ``f``), and the nodes with their components by Jaccard similarity.
 
-def _similar(docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """Components of ``docs`` (doc_id, text) by Jaccard similarity; shingles are made anew for the sets that share a bucket with another."""
+    Shingles are made anew for the sets that share a bucket with another.
+    """
     docs = docs.withColumn("t", F.xxhash64("text"))
-    prints = cut(with_fingerprints(docs, width=width, bands=BANDS).select("doc_id", "t", "fingerprint", "seeds", F.col("node").alias("f")))
-    distinct = cut(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "t")).alias("one"), F.min("seeds").alias("seeds")))
-    rows = distinct.select("f", F.posexplode("seeds").alias("band", "value"))
+    prints = cut(sketched(docs, width))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), "t")).alias("least")
+    distinct = cut(prints.groupBy("f").agg(least, F.min("p").alias("p"), F.min("size").alias("size"), F.min("seeds").alias("seeds")))
+    rows = distinct.select("f", "p", "size", F.posexplode("seeds").alias("band", "value"))
     met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    needed = cut(distinct.join(rows.join(met, ["band", "value"]).select("f").distinct(), "f", "left_semi").select(F.col("one.doc_id").alias("id"), F.col("one.t").alias("at")))
+    needed = cut(distinct.join(rows.join(met, ["band", "value"]).select("f").distinct(), "f", "left_semi").select(F.col("least.id").alias("id"), F.col("least.t").alias("at")))
     needed = F.broadcast(needed) if needed.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else needed
     texts = docs.join(needed, (F.col("t") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = cut(shingle_sets(texts, width).groupBy("f").agg(F.first("shingles").alias("shingles")))
-    return _with_components(prints, distinct, components(similar_links(rows, sets, similarity)))
-
-
-def _with_components(prints: DataFrame, distinct: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc_id``, ``fingerprint`` and ``component_id`` of ``prints`` by their node ``f``."""
-    named = distinct.join(found, distinct["f"] == found["node"], "left").select("f", "least", F.coalesce("component", "f").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = cut(named.join(smallest, "component").select("f", "component_id"))
-    return prints.join(ids, "f").select("doc_id", "fingerprint", "component_id")
+    return prints, _named(distinct.drop("seeds"), components(similar_links(rows, sets, similarity)))
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id. Rows without an id go."""
-    kept = fresh(docs, "kept_id")
-    chosen = near_duplicates(docs, width=width, similarity=similarity).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
-    return docs.join(chosen, docs["doc_id"] == chosen[kept], "left_semi")
+    """``docs`` with one row of each component: of the smallest id (rows without one come last), then of the least text hash.
+
+    Rows of one id with different texts are rows of their own. Of rows equal in id and text one stays.
+    """
+    rows = apart(docs, "doc_id", "text")
+    prints, named = _similar(rows.select("doc_id", "text"), similarity, width)
+    mine = F.struct("least.missing", "least.id", "f")
+    chosen = cut(named.filter(mine == F.col("component")).select(F.col("least.id").alias("kept id"), F.col("least.t").alias("kept text")))
+    at = (F.xxhash64("text") == F.col("kept text")) & F.col("doc_id").eqNullSafe(F.col("kept id"))
+    again = prints.groupBy(F.col("doc_id").alias("id"), "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = cut(chosen.join(again, (F.col("t") == F.col("kept text")) & F.col("id").eqNullSafe(F.col("kept id")), "left_semi"))
+    kept = rows.join(chosen, at, "left_semi")
+    if again.limit(1).count():
+        repeated = rows.join(again, at, "left_semi")
+        order = F.xxhash64(*(c for c, t in repeated.dtypes if "map<" not in t and "variant" not in t))
+        one = repeated.groupBy("doc_id", F.xxhash64("text").alias("kept text")).agg(F.min_by(F.struct(*repeated.columns), order).alias("row"))
+        kept = kept.join(again, at, "left_anti").unionAll(one.select("row.*"))
+    return kept.toDF(*docs.columns)
 
 
 def as_hex(f: Column) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.llm.frames import fresh
-from corpusweave.llm.textblocks import BLOCK_BYTES, Block, blocks, mix, rolling, whole_windows
+from corpusweave.llm.textblocks import BLOCK_BYTES, Block, blocks, lean, mix, rolling, whole_windows
 
 WINDOW = 50
 GRAM = 25
@@ -131,8 +131,8 @@ def sketch(docs: DataFrame, bits: int, values_of, text: str = "text", block_byte
         if now is not None:
             yield packed()
 
-    parts = docs.mapInArrow(partial, "slice int, once binary, more binary")
-    merged = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, bits binary")
+    parts = docs.mapInArrow(lean(partial), "slice int, once binary, more binary")
+    merged = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slice").sortWithinPartitions("slice").mapInArrow(lean(merge), "slice int, bits binary")
     out = np.zeros((DEPTH, 1 << max(0, bits - 3)), np.uint8).reshape(DEPTH * SLICES, -1)
     for row in merged.toLocalIterator():
         out[row["slice"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
@@ -194,7 +194,7 @@ def _candidates(docs: DataFrame, shipped, bits: int, window: int, gram: int, set
         if held:
             yield from flush()
 
-    return docs.mapInArrow(run, "doc long, row int, start int, end int" if settled else "k1 long, k2 long, doc long, row int, start int, end int")
+    return docs.mapInArrow(lean(run), "doc long, row int, start int, end int" if settled else "k1 long, k2 long, doc long, row int, start int, end int")
 
 
 def row_hash(text: str):
@@ -249,4 +249,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
                     kept.append((b" ".join(words) if keep.all() else b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])).decode())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["n_words", "n_removed", "kept"])], schema=batch.schema)
 
-    return out.mapInArrow(run, out.schema).drop(at)
+    return out.mapInArrow(lean(run), out.schema).drop(at)

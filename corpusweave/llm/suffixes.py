@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm.frames import fresh
 from corpusweave.llm.substrings import LAST, maybe_repeated, sketch, sketch_bits, sliding_min
-from corpusweave.llm.textblocks import _BYTES, Block, blocks, mix, whole_windows
+from corpusweave.llm.textblocks import _BYTES, Block, blocks, lean, mix, whole_windows
 
 LENGTH = 100
 GRAM = 36
@@ -329,9 +329,9 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             yield out
 
     # Two runs of the same pass: both results together would have to be kept on disk.
-    runs = rows.mapInArrow(lambda batches: sort(batches, False), RUN)
-    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, STRETCHES)
-    settled = rows.mapInArrow(lambda batches: sort(batches, True), STRETCHES)
+    runs = rows.mapInArrow(lean(lambda batches: sort(batches, False)), RUN)
+    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(merge), STRETCHES)
+    settled = rows.mapInArrow(lean(lambda batches: sort(batches, True)), STRETCHES)
     return merged.unionAll(settled).groupBy("doc", "row").agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
@@ -362,4 +362,4 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])], schema=batch.schema)
 
-    return out.mapInArrow(run, out.schema).drop(at)
+    return out.mapInArrow(lean(run), out.schema).drop(at)

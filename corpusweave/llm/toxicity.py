@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.frames import fresh, pick
-from corpusweave.llm.textblocks import LOWER, Block, blocks, mix
+from corpusweave.llm.frames import apart, fresh, pick
+from corpusweave.llm.textblocks import LOWER, Block, blocks, lean, mix
 
 SAMPLE = 6_000
 BITS = 18
@@ -41,6 +41,7 @@ EPOCHS = 3
 BATCH = 48
 FEWEST = 30
 TRAIN_BLOCK = 256 << 10
+SCORE_BLOCK = 1 << 20
 
 
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -226,18 +227,18 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shipped.value.scores(block) for block in blocks(batch.column(at))]
+            found = [shipped.value.scores(block) for block in blocks(batch.column(at), SCORE_BLOCK)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found) if found else [], pa.float64())], schema=batch.schema)
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(lean(run), out.schema)
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows whose score reaches their language's threshold."""
-    scored = score(docs, model)
+    scored = score(apart(docs, "text", "lang"), model)
     name = scored.columns[-1]
     limit = F.lit(model.thresholds[None])
     for lang, cut in model.thresholds.items():
         if lang is not None:
             limit = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(cut)).otherwise(limit)
-    return scored.filter(F.col(name) < limit).drop(name)
+    return scored.filter(F.col(name) < limit).drop(name).toDF(*docs.columns)

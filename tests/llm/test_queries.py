@@ -178,7 +178,36 @@ def test_near_duplicates_by_similarity(spark):
     changed[150] = "other"
     rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(f"v{rng.randrange(5000)}" for _ in range(300))), (4, None), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [1, 3, 4]
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_first(docs).collect()) == ["1", "3", "4", "None"]
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null and repeated ids, repeated rows, columns that differ in case alone, columns without an order."""
+    from corpusweave.llm import simhash
+
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one, "x", {"k": 1}), (1, one, "y", {}), (1, two, "z", None), (2, two, "z", None), (None, one, "n", {}), (None, "c d", "n", {}), (None, "c d", "n", {}), (None, None, "n", {}), (7, "", "e", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, TEXT string, tags map<string,int>")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r[0]), r[1]) for r in kept.collect()) == [("1", one), ("1", two), ("7", ""), ("None", "c d")]
+
+
+def test_large_groups_of_near_copies_leave_one(spark):
+    """6,000 texts of 300 words with three words changed each, among unlike texts."""
+    from corpusweave.llm import simhash
+    import random
+
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(40))) for i in range(100)]
+    for i in range(100, 6100):
+        near = words.copy()
+        for k in rng.sample(range(300), 3):
+            near[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == list(range(101))
 
 
 def jaccard_groups(sets, least):
@@ -191,10 +220,11 @@ def test_crowded_seeds_lose_no_link(spark):
 
     rng = np.random.default_rng(4)
     sets = [set(range(100 * g, 100 * g + 20)) - set(rng.choice(20, k, replace=False) + 100 * g) for g in range(6) for k in rng.integers(0, 8, 12)]
-    rows = spark.createDataFrame([(i, 0, 7) for i in range(len(sets))], "f long, band int, value long")
+    prints = [int(x) for x in rng.integers(0, 2, len(sets))]
+    rows = spark.createDataFrame([(i, prints[i], len(sets[i]), 0, 7) for i in range(len(sets))], "f long, p long, size int, band int, value long")
     made = spark.createDataFrame([(i, sorted(map(int, x))) for i, x in enumerate(sets)], "f long, shingles array<long>")
     want, every = jaccard_groups(sets, 0.8)
-    for crowd in (9, 2000):
+    for crowd in (300, 10**6):
         got = [(r["a"], r["b"]) for r in simhash.similar_links(rows, made, 0.8, crowd).collect()]
         assert every and set(map(lambda p: tuple(sorted(p, reverse=True)), got)) <= set(every) and _groups(len(sets), got) == want
 
@@ -273,6 +303,17 @@ def test_decontamination_cuts_spans(spark):
     assert [r["doc_id"] for r in decontaminate(docs, bench).orderBy("doc_id").collect()] == [2, 3]
 
 
+def test_decontamination_drops_long_documents_with_a_whole_item(spark):
+    from corpusweave.llm.decontamination import decontaminate
+
+    item = " ".join(f"item{i}" for i in range(40))
+    filler = " ".join(f"w{i}" for i in range(2000))
+    rows = [(1, f"{filler} {item} {filler}", None), (2, f"{filler} {' '.join(item.split()[:12])}", "short of a window"), (3, f"{filler} word", "a short item"), (4, "word", None), (5, None, None), (6, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, TEXT string")
+    bench = spark.createDataFrame([(7, item), (8, "word"), (9, None)], "item_id long, text string")
+    assert sorted(r[0] for r in decontaminate(docs, bench).collect()) == [2, 3, 5, 6]
+
+
 def test_decontamination_in_blocks(spark, plain_dir):
     from corpusweave.llm import decontamination
 
