@@ -1,8 +1,9 @@
 """Language identification: script ranges, then Viterbi over words with a switching penalty.
 
 Learning counts byte trigrams (with word edges) and whole words by language in a seeded sample of
-about ``SAMPLE`` labelled documents, whose number bounds the work; the counts are sums over
-partitions, at most ``langs`` times the two tables' sizes. The scripts that at least one in a
+about ``SAMPLE`` labelled documents, whose number bounds the work; all partitions count, the counts
+are summed by language on the executors, and at most ``MOST_LANGS`` rows of them come to the driver
+(more languages are refused, as each is a column of the broadcast model). The scripts that at least one in a
 hundred of a language's letters use are its scripts.
 
 Scoring: a word's script narrows the languages; its score for each is the smoothed log likelihood
@@ -170,11 +171,15 @@ def predict_block(block: Block, model: Model) -> tuple[list[str], list[float]]:
     return names, scores
 
 
+SLOTS = (1 << TRI_BITS, 1 << WORD_BITS, len(SCRIPTS) + 1)
+COUNTS = "lang string, slots binary, counts binary"
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of trigram, word and script counts by language over one partition."""
-    found: dict[str, list[np.ndarray]] = {}
+    """Trigram, word and script counts by language over a block of texts, as slots that aren't 0 and their counts."""
+    edges = np.cumsum([0, *SLOTS])
     for batch in batches:
-        langs = batch.column(1).to_pylist()
+        langs, out = batch.column(1).to_pylist(), []
         for block in blocks(batch.column(0)):
             f = word_features(block)
             by_text = np.array(langs[block.first : block.last], object)
@@ -183,33 +188,45 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.repeat(f["starts"] - np.concatenate(([0], np.cumsum(f["ends"] - f["starts"])[:-1])), f["ends"] - f["starts"]) + np.arange(len(byte_owner)) if len(owner) else np.zeros(0, np.int64)
             for lang in sorted(set(by_text)):
                 mine = by_text == lang
-                sums = found.setdefault(lang, [np.zeros(1 << TRI_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64), np.zeros(len(SCRIPTS) + 1, np.int64)])
-                sums[0] += np.bincount(f["tri"][at[mine[byte_owner]]], minlength=1 << TRI_BITS)
-                sums[1] += np.bincount(f["word"][mine[owner]], minlength=1 << WORD_BITS)
-                sums[2] += np.bincount(f["script"][mine[owner]], weights=f["letters"][mine[owner]], minlength=len(SCRIPTS) + 1).astype(np.int64)
+                words = mine[owner]
+                sums = np.zeros(edges[-1], np.int64)
+                sums[: edges[1]] = np.bincount(f["tri"][at[mine[byte_owner]]], minlength=SLOTS[0])
+                sums[edges[1] : edges[2]] = np.bincount(f["word"][words], minlength=SLOTS[1])
+                sums[edges[2] :] = np.bincount(f["script"][words], weights=f["letters"][words], minlength=SLOTS[2])
+                some = np.flatnonzero(sums)
+                out.append((lang, some.astype(np.int32).tobytes(), sums[some].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], ["lang", "slots", "counts"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a language: all its counts together."""
+    found: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for lang, slots, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found.setdefault(lang, np.zeros(sum(SLOTS), np.int64))[np.frombuffer(slots, np.int32)] += np.frombuffer(counts, np.int64)
     for lang, sums in found.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), *(pa.array([s.tobytes()], pa.binary()) for s in sums)], ["lang", "tri", "word", "script"])
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([sums[some].tobytes()], pa.binary())], ["lang", "slots", "counts"])
 
 
-def train(docs: DataFrame, allowed=None, sample: int = SAMPLE, seed: int = 42, partitions: int = 8) -> Model:
+def train(docs: DataFrame, allowed=None, sample: int = SAMPLE, seed: int = 42) -> Model:
     """A model from about ``sample`` labelled documents of ``docs``; ``allowed`` filters them first."""
     rows = pick(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.filter(allowed) if allowed is not None else rows
     share = min(1.0, sample / max(1, rows.count()))
     rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    found: dict[str, list[np.ndarray]] = {}
-    for r in rows.select("text", "lang").coalesce(partitions).mapInArrow(_counts, "lang string, tri binary, word binary, script binary").toLocalIterator():
-        part = [np.frombuffer(bytes(x), np.int64) for x in r[1:]]
-        if r[0] in found:
-            found[r[0]] = [a + b for a, b in zip(found[r[0]], part, strict=True)]
-        elif len(found) < MOST_LANGS:
-            found[r[0]] = part
-        else:
+    partial = rows.select("text", "lang").mapInArrow(lean(_counts), COUNTS)
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found: dict[str, np.ndarray] = {}
+    for lang, slots, counts in partial.repartition(width, "lang").mapInArrow(lean(_sums), COUNTS).limit(MOST_LANGS + 1).collect():
+        if len(found) == MOST_LANGS:
             raise ValueError(f"over {MOST_LANGS} languages")
+        found[lang] = np.zeros(sum(SLOTS), np.int64)
+        found[lang][np.frombuffer(bytes(slots), np.int32)] = np.frombuffer(bytes(counts), np.int64)
     langs = sorted(found)
     if not langs:
         return Model([], np.zeros((1 << TRI_BITS, 0), np.float32), np.zeros((1 << WORD_BITS, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool))
-    tri, word, script = (np.stack([found[x][k] for x in langs], 1).astype(np.float64) for k in range(3))
+    tri, word, script = np.split(np.stack([found[x] for x in langs], 1).astype(np.float64), np.cumsum(SLOTS)[:2])
     tri_log = np.log((tri + 0.2) / (tri.sum(0) + 0.2 * len(tri)))
     word_log = np.log((word + 0.5) / (word.sum(0) + 0.5 * len(word)))
     word_log -= word_log.max(1, keepdims=True)

@@ -4,8 +4,9 @@ Sources in code-point order (null last) take the weights in turn; their shares o
 all words are capped at ``most`` times the source's own words and the excess is shared out again by
 weight until no source is above its cap.
 
-Each source's documents fall into hash cells: its blocks. Only the words in each cell come to the
-driver: sources times cells, at most ``MOST_CELLS`` numbers, never documents. A source's draws are
+Each source's documents fall into hash cells by id and text: its blocks, up to ``CELLS`` of them and
+fewer where sources are many. Only the words in each cell come to the driver, in Arrow columns:
+sources times cells, at most ``MOST_CELLS`` numbers, never documents. A source's draws are
 its whole blocks once for each full turn, and then blocks of one more permutation that still fit
 its target. The counts of drawn blocks are exact quotas, which a binary tree deals to the output
 shards: each node draws its left half's quotas from the multivariate hypergeometric law. A shard
@@ -14,8 +15,9 @@ its rows are put in a seeded random order locally.
 
 Everything follows from the seed and the data, so reruns agree and a lost task is run again. A hot
 source has as many blocks as any other, and they go to different tasks. Documents without words
-belong to their block and take nothing; rows of one ``doc_id`` share their draws; a null source is
-a source; an empty table gives an empty result. More than ``MOST_SOURCES`` sources are refused.
+belong to their block and take nothing; rows equal in ``doc_id`` and text share their draws; a null
+source is a source; columns may clash in case; an empty table gives an empty result. More than
+``MOST_SOURCES`` sources are refused: the tree's quotas are one number a source and shard.
 """
 
 from __future__ import annotations
@@ -23,26 +25,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusweave.llm.frames import WORD, fresh
+from corpusweave.llm.frames import WORD, apart, cut, fresh
+from corpusweave.llm.sharding import partitions_for, text_bytes
 
 WEIGHTS = (5, 2, 1)
-CELLS = 4096
-MOST_CELLS = 4_000_000
+CELLS = 1024
+MOST_CELLS = 1_000_000
 MOST_SOURCES = 62_500
 BROADCAST_ROWS = 200_000
-
-DRAWS = T.ArrayType(T.StructType([T.StructField("copy", T.IntegerType()), T.StructField("shard", T.IntegerType())]))
+BUDGET = 1.5
 
 
 def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: tuple = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> list[float]:
+def targets(sizes: list[int], weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = 2.0) -> list[float]:
     """Capped shares, in the sources' order."""
     total, out = budget * sum(sizes), [0.0] * len(sizes)
     free = set(range(len(sizes)))
@@ -68,75 +70,93 @@ def split_quotas(quotas: np.ndarray, n_shards: int, rng: np.random.Generator) ->
 
 @dataclass
 class MixPlan:
-    """Per source: words and target. ``cells``: draws of each (source, cell). All on the driver, bounded."""
+    """Per source: words and target. ``cells``: draws (copy and shard) of each (source, cell). All on the driver, bounded."""
 
     sources: list[tuple[str | None, int, float]]
-    cells: list[tuple[str | None, int, list[tuple[int, int]]]]
+    cells: pa.Table
     n_cells: int
     seed: int
 
 
-def cell_of(n_cells: int, seed: int):
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(n_cells)).cast("int")
+def sized(docs: DataFrame) -> DataFrame:
+    """What a plan needs of ``docs``: ``doc_id``, ``source``, ``size`` in words, ``bytes`` and the text's hash."""
+    return docs.select("doc_id", "source", word_count().alias("size"), text_bytes().alias("bytes"), F.xxhash64("text").alias("text_hash"))
+
+
+def cell_of(n_cells: int, seed: int, text_hash="text_hash"):
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), text_hash), F.lit(n_cells)).cast("int")
+
+
+def draws_of(words: np.ndarray, aim: float, most: float, rng_key: list[int]) -> tuple[list[int], list[int]]:
+    """One source's draws as (place of the cell, copy): whole turns over its cells, then cells of one more permutation that still fit."""
+    total = int(words.sum())
+    full = min(int(aim // total), int(most)) if total else 0
+    left, cells, copies = aim - full * total, [], []
+    for copy in range(full + 1):
+        order = np.random.default_rng([*rng_key, copy]).permutation(len(words)).tolist()
+        if copy < full:
+            cells += order
+            copies += [copy] * len(order)
+        elif full < most:
+            for c in order:
+                if 0 < words[c] <= left:
+                    cells.append(c)
+                    copies.append(copy)
+                    left -= int(words[c])
+    return cells, copies
 
 
-def make_plan(sizes: DataFrame, n_shards: int = 16, weights: tuple = WEIGHTS, budget: float = 1.5, most: float = 2.0, seed: int = 42) -> MixPlan:
-    """The mix of ``sizes`` (doc_id, source, size)."""
+def make_plan(sizes: DataFrame, n_shards: int = 16, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = 2.0, seed: int = 42) -> MixPlan:
+    """The mix of ``sizes`` (see ``sized``)."""
     n_sources = sizes.select("source").distinct().limit(MOST_SOURCES + 1).count()
     if n_sources > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources")
-    n_cells = max(64, min(CELLS, MOST_CELLS // max(1, n_sources)))
-    rows = sizes.groupBy("source", cell_of(n_cells, seed).alias("cell")).agg(F.sum("size").alias("words")).collect()
-    words: dict[str | None, dict[int, int]] = {}
-    for r in rows:
-        words.setdefault(r["source"], {})[r["cell"]] = r["words"]
-    order = sorted(words, key=lambda s: (s is None, s or ""))
-    totals = [sum(words[s].values()) for s in order]
+    n_cells = max(16, min(CELLS, MOST_CELLS // max(1, n_sources)))
+    found = sizes.groupBy("source", cell_of(n_cells, seed).alias("cell")).agg(F.sum("size").alias("words")).toArrow()
+    names = found["source"].unique().to_pylist()
+    order = sorted(names, key=lambda s: (s is None, s or ""))
+    place = {s: i for i, s in enumerate(order)}
+    coded = found["source"].combine_chunks().dictionary_encode(null_encoding="encode")
+    of = np.array([place[s] for s in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+    cell, words = found["cell"].to_numpy(), found["words"].to_numpy()
+    by_source = np.lexsort((cell, of))
+    of, cell, words = of[by_source], cell[by_source], words[by_source]
+    edges = np.searchsorted(of, np.arange(len(order) + 1))
+    totals = [int(words[a:b].sum()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     aims = targets(totals, weights, budget, most)
 
-    drawn: list[list[tuple[int, int]]] = []
-    for i, (s, total, aim) in enumerate(zip(order, totals, aims, strict=True)):
-        full = min(int(aim // total), int(most)) if total else 0
-        left, own, draws = aim - full * total, np.array(sorted(words[s])), []
-        for copy in range(full + 1):
-            for c in np.random.default_rng([seed, i, copy]).permutation(own).tolist():
-                if copy < full:
-                    draws.append((c, copy))
-                elif full < most and words[s][c] <= left and words[s][c]:
-                    draws.append((c, copy))
-                    left -= words[s][c]
-        drawn.append(draws)
-
-    shares = split_quotas(np.array([len(d) for d in drawn], np.int64), n_shards, np.random.default_rng([seed, 1])) if order else np.zeros((n_shards, 0), np.int64)
-    cells = []
-    for i, s in enumerate(order):
-        by_cell: dict[int, list[tuple[int, int]]] = {}
-        for (c, copy), to in zip(drawn[i], np.repeat(np.arange(n_shards), shares[:, i]).tolist(), strict=True):
-            by_cell.setdefault(c, []).append((copy, to))
-        cells += [(s, c, by_cell.get(c, [])) for c in words[s]]
+    drawn = [draws_of(words[edges[i] : edges[i + 1]], aims[i], most, [seed, i]) for i in range(len(order))]
+    shares = split_quotas(np.array([len(d[0]) for d in drawn], np.int64), n_shards, np.random.default_rng([seed, 1])) if order else np.zeros((n_shards, 0), np.int64)
+    at = np.concatenate([np.zeros(0, np.int64), *(np.array(d[0], np.int64) + edges[i] for i, d in enumerate(drawn))])
+    copy = np.concatenate([np.zeros(0, np.int32), *(np.array(d[1], np.int32) for d in drawn)])
+    shard = np.concatenate([np.zeros(0, np.int32), *(np.repeat(np.arange(n_shards, dtype=np.int32), shares[:, i]) for i in range(len(order)))])
+    grouped = np.argsort(at, kind="stable")
+    bounds = np.searchsorted(at[grouped], np.arange(len(cell) + 1)).astype(np.int32)
+    draws = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(copy[grouped]), pa.array(shard[grouped])], ["copy", "shard"]))
+    sources = pa.array(order, pa.string()).take(pa.array(of))
+    cells = pa.table({"mix_source": sources, "mix_cell": pa.array(cell, pa.int32()), "draws": draws})
     return MixPlan(list(zip(order, totals, aims, strict=True)), cells, n_cells, seed)
 
 
-def with_draws(df: DataFrame, plan: MixPlan) -> DataFrame:
+def with_draws(df: DataFrame, plan: MixPlan, text_hash="text_hash") -> DataFrame:
     """``df`` with ``draws``: for each copy of the row that the mix takes, its number and shard."""
-    spark, name = df.sparkSession, fresh(df, "draws")
-    table = spark.createDataFrame(plan.cells, T.StructType([T.StructField("mix_source", T.StringType()), T.StructField("mix_cell", T.IntegerType()), T.StructField(name, DRAWS)]))
+    table = df.sparkSession.createDataFrame(plan.cells).withColumnRenamed("draws", fresh(df, "draws"))
     table = F.broadcast(table) if len(plan.cells) <= BROADCAST_ROWS else table
-    on = F.col("source").eqNullSafe(F.col("mix_source")) & (cell_of(plan.n_cells, plan.seed) == F.col("mix_cell"))
+    on = F.col("source").eqNullSafe(F.col("mix_source")) & (cell_of(plan.n_cells, plan.seed, text_hash) == F.col("mix_cell"))
     return df.join(table, on, "left").drop("mix_source", "mix_cell")
 
 
-def mix(docs: DataFrame, n_shards: int = 16, pieces: int = 8, seed: int = 42, **shares) -> DataFrame:
+def mix(docs: DataFrame, n_shards: int = 16, seed: int = 42, **shares) -> DataFrame:
     """The mixed rows of ``docs``: its columns, then ``copy`` and ``shard``, each shard's rows in random order.
 
-    A shard is dealt out over ``pieces`` tasks at random, each of which sorts its part by a random key.
+    A shard is dealt out at random over tasks whose number follows the bytes; each sorts its part by a random key.
     """
-    from corpusweave.llm.frames import cut
-
-    sizes = cut(docs.select("doc_id", "source", word_count().alias("size")))
-    drawn = with_draws(docs, make_plan(sizes, n_shards, seed=seed, **shares))
-    draws = drawn.columns[-1]
-    rows = drawn.select(*docs.columns, F.explode(draws).alias(draws)).select(*docs.columns, F.col(f"{draws}.copy").alias(fresh(docs, "copy")), F.col(f"{draws}.shard").alias(fresh(docs, "shard")))
-    copy, shard = rows.columns[-2:]
-    key = F.xxhash64(F.lit(seed), F.col(shard), F.col(copy), F.col("doc_id"))
-    return rows.repartition(n_shards * pieces, F.col(shard), F.pmod(F.shiftright(key, 20), F.lit(pieces))).sortWithinPartitions(F.col(shard), key)
+    rows = apart(docs, "doc_id", "source", "text")
+    sizes = cut(sized(rows))
+    drawn = with_draws(rows, make_plan(sizes, n_shards, seed=seed, **shares), F.xxhash64("text"))
+    size = sizes.agg(F.sum("bytes")).first()[0] or 0
+    pieces = -(-partitions_for(int(shares.get("budget", BUDGET) * size), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) // n_shards)
+    out = drawn.select(*rows.columns, F.explode("draws").alias("draw")).select(*rows.columns, F.col("draw.copy").alias("copy"), F.col("draw.shard").alias("to"))
+    key = F.xxhash64(F.lit(seed), "to", "copy", "doc_id", F.xxhash64("text"))
+    dealt = out.repartition(n_shards * pieces, F.col("to"), F.pmod(F.shiftright(key, 20), F.lit(pieces))).sortWithinPartitions("to", key)
+    return dealt.toDF(*docs.columns, fresh(docs, "copy"), fresh(docs, "shard"))

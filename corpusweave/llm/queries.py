@@ -15,7 +15,7 @@ from corpusweave.llm.frames import cut, held_out, pick
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    sizes = cut(docs.select("doc_id", "source", mixing.word_count().alias("size")))
+    sizes = cut(mixing.sized(docs))
     plan = mixing.make_plan(sizes)
     by_source = spark.createDataFrame(plan.sources, "mix_source string, source_size long, target double")
     drawn = mixing.with_draws(sizes, plan).join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("mix_source")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm.frames import apart, fresh, pick
-from corpusweave.llm.textblocks import LOWER, Block, blocks, lean, mix
+from corpusweave.llm.textblocks import LOWER, Block, blocks, lean, mix, trim
 
 SAMPLE = 6_000
 BITS = 18
@@ -41,6 +41,7 @@ EPOCHS = 3
 BATCH = 48
 FEWEST = 30
 TRAIN_BLOCK = 256 << 10
+TRAIN_ROWS = 256
 SCORE_BLOCK = 1 << 20
 
 
@@ -85,7 +86,10 @@ class Model:
         return top, at
 
     def scores(self, block: Block) -> np.ndarray:
-        rows, texts = features(block)
+        return self.scores_of(*features(block))
+
+    def scores_of(self, rows: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Scores of texts by their words' table rows and the texts' bounds in them."""
         x = self.table[rows].sum(1) if len(rows) else np.zeros((0, DIM), np.float32)
         n, tops = len(texts) - 1, []
         for k, (w, z) in enumerate(zip(WIDTHS, self.convolve(x) if len(x) >= max(WIDTHS) else [np.zeros((0, FILTERS), np.float32)] * len(WIDTHS), strict=True)):
@@ -123,15 +127,29 @@ def log_odds(rows: np.ndarray, bounds: np.ndarray, labels: np.ndarray, use: np.n
     return ((np.log((one + 0.5) / (zero + 0.5)) + prior) * np.maximum(0, (most - 1) / (most + 1))).clip(-2, 8).astype(np.float32)
 
 
-def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int = 42, epochs: int = EPOCHS) -> Model:
-    """Trains on whole texts; every fifth is set aside for the thresholds."""
+def sample_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of all texts, taken in small blocks."""
+    parts, sizes = [], [np.zeros(1, np.int64)]
+    for lo in range(0, len(texts), TRAIN_ROWS):
+        for block in blocks(texts.slice(lo, TRAIN_ROWS), TRAIN_BLOCK):
+            rows, bounds = features(block)
+            parts.append(rows)
+            sizes.append(np.diff(bounds))
+    bounds = np.cumsum(np.concatenate(sizes))
+    out, at = np.empty((int(bounds[-1]), 1 + len(PREFIXES)), np.int32), 0
+    parts.reverse()
+    while parts:
+        rows = parts.pop()
+        out[at : at + len(rows)] = rows
+        at += len(rows)
+    return out, bounds
+
+
+def fit(rows: np.ndarray, bounds: np.ndarray, labels: np.ndarray, langs: list[str | None], seed: int = 42, epochs: int = EPOCHS) -> Model:
+    """Trains on whole texts, given as ``sample_features``; every fifth is set aside for the thresholds."""
     if not len(labels) or labels.min() == labels.max():
         return _constant(float(labels.mean()) if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
-    parts = [features(block) for block in blocks(pa.array(texts, pa.string()), TRAIN_BLOCK)]
-    rows = np.concatenate([r for r, _ in parts])
-    bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))))
-    del parts
     aside = np.arange(len(labels)) % 5 == 4
     if len(set(labels[~aside])) < 2:
         aside[:] = False
@@ -183,7 +201,8 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str | None], seed: int
             _adagrad(model.out, seen[3], g_o, rate * 0.5)
             model.out_bias -= rate * g_ob
     held = aside if aside.any() else ~aside
-    scores = np.concatenate([model.scores(block) for block in blocks(pa.array([t for t, h in zip(texts, held, strict=True) if h], pa.string()), TRAIN_BLOCK)])
+    chosen = np.flatnonzero(held)
+    scores = np.array([model.scores_of(rows[bounds[i] : bounds[i + 1]], np.array([0, bounds[i + 1] - bounds[i]]))[0] for i in chosen])
     model.thresholds = calibrate(scores, labels[held], [x for x, h in zip(langs, held, strict=True) if h])
     return model
 
@@ -213,10 +232,16 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None, sample: int = SAMPLE
     share = min(1.0, sample / max(1, n))
     marks = marks.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).limit(2 * sample)
     rows = pick(docs, "doc_id", "text", "lang").join(F.broadcast(marks), "doc_id").select("doc_id", "text", "lang", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
-    texts, toxic, langs = [t or "" for t in rows["text"].to_pylist()], np.array(rows["toxic"].to_pylist(), np.float64), rows["lang"].to_pylist()
+    toxic, langs = np.array(rows["toxic"].to_pylist(), np.float64), rows["lang"].to_pylist()
+    texts = rows["text"]
     del rows
-    pa.default_memory_pool().release_unused()
-    return fit(texts, toxic, langs, seed)
+    words, bounds = sample_features(texts)
+    del texts
+    trim()
+    model = fit(words, bounds, toxic, langs, seed)
+    del words
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

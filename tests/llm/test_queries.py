@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusweave.llm import queries as Q
 
@@ -49,6 +50,21 @@ def test_mixing(spark, plain_dir):
     first, again = (by_id(spark, "op1_mixing", plain_dir) for _ in range(2))
     assert {k: r["taken"] for k, r in first.items()} == {k: r["taken"] for k, r in again.items()}
     sums, largest = collections.Counter(), collections.Counter()
+    sources = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{plain_dir}/documents.parquet").collect()}
+    words = collections.Counter()
+    for i, t in documents(spark, plain_dir):
+        words[sources[i]] += len(re.findall(WORD, t or ""))
+    order = sorted(words, key=lambda s: (s is None, s or ""))
+    weight = dict(zip(order, (5, 2, 1), strict=True))
+    aims, capped = {}, set()
+    while True:
+        left = 1.5 * words.total() - sum(2 * words[s] for s in capped)
+        free = [s for s in order if s not in capped]
+        aims = {s: 2.0 * words[s] if s in capped else left * weight[s] / sum(weight[f] for f in free) for s in order}
+        if not (over := {s for s in free if aims[s] > 2 * words[s]}):
+            break
+        capped |= over
+    assert all(first[i]["source_size"] == words[s] and first[i]["target"] == pytest.approx(aims[s]) for i, s in sources.items())
     for i, t in documents(spark, plain_dir):
         assert first[i]["size"] == len(re.findall(WORD, t or ""))
         assert first[i]["taken"] in (0, first[i]["size"], 2 * first[i]["size"])
@@ -59,6 +75,18 @@ def test_mixing(spark, plain_dir):
         assert 0 <= target - taken < max(largest[target, size], 1)
 
 
+def test_mixed_rows_are_the_planned_draws(spark, plain_dir):
+    """Each copy is of a whole row, shards hold it once, columns may clash in case."""
+    from corpusweave.llm.mixing import mix
+
+    docs = spark.read.parquet(f"{plain_dir}/documents.parquet").select("doc_id", "text", "source", "copy", F.lit("x").alias("TEXT"))
+    out = mix(docs, n_shards=3)
+    assert out.columns == ["doc_id", "text", "source", "copy", "TEXT", "copy_", "shard"]
+    rows, plan = out.collect(), by_id(spark, "op1_mixing", plain_dir)
+    assert collections.Counter(r[0] for r in rows if plan[r[0]]["size"]) == {i: r["taken"] // r["size"] for i, r in plan.items() if r["taken"]}
+    assert len({(r[0], r[5]) for r in rows}) == len(rows) and {r[6] for r in rows} == {0, 1, 2}
+
+
 def test_mixing_targets():
     from corpusweave.llm.mixing import split_quotas, targets
 
@@ -95,6 +123,22 @@ def test_sharding(spark, odd_dir):
     assert sorted(r["text_crc32"] for r in rows) == want
 
 
+def test_sharding_of_odd_tables(spark):
+    """A third of all rows under one id, texts of one kind under null ids, columns without an order or that clash in case."""
+    from corpusweave.llm.sharding import shard
+
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, "same text" if i % 3 == 1 else f"text {i}", "c", {"k": i}, i) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, TEXT string, tags map<string,int>, place int")
+    for bucket_bytes in (1 << 20, 2000):
+        found = shard(docs, 7, bucket_bytes=bucket_bytes)
+        assert found.columns == [*docs.columns, "shard", "slot"]
+        got = found.collect()
+        assert sorted(r[4] for r in got) == list(range(900))
+        assert sorted((r[6], r[5]) for r in got) == [(g // 7, g % 7) for g in range(900)]
+        assert [r[4] for r in sorted(got, key=lambda r: (r[6], r[5]))] != sorted(range(900))
+    assert shard(docs.limit(0)).count() == 0
+
+
 def test_toxicity(spark, tmp_path):
     from tests.llm.conftest import prose, write
     import random
@@ -114,6 +158,32 @@ def test_toxicity(spark, tmp_path):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
     assert np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held]) > 0.95
+    flipped = [(i, 1, 1 - y if zlib.crc32(str(i).encode()) % 4 == 2 else y) for i, _, y in labels]
+    others = [(i, t, "xx", "other") for i, t, *_ in docs]
+    again = Q.queries()["op5_toxicity"](spark, write(spark, tmp_path / "f", others, flipped)).collect()
+    before = {r["doc_id"]: r["score"] for r in rows}
+    assert all(r["score"] == pytest.approx(before[r["doc_id"]], abs=1e-6) for r in again)
+
+
+def test_toxicity_scores_are_pooled_convolutions():
+    import pyarrow as pa
+
+    from corpusweave.llm.textblocks import blocks
+    from corpusweave.llm.toxicity import FILTERS, WIDTHS, _constant, features
+
+    rng, model = np.random.default_rng(7), _constant(0.3)
+    model.table = rng.standard_normal(model.table.shape, np.float32)
+    model.filters = [rng.standard_normal(f.shape, np.float32) for f in model.filters]
+    model.bias, model.out = rng.standard_normal(model.bias.shape, np.float32), rng.standard_normal(model.out.shape, np.float32)
+    for texts in (["one", "", None, "two words", "a b c d e a b"], [""], ["x"], [None, "a b"]):
+        block = next(blocks(pa.array(texts, pa.string())))
+        rows, bounds = features(block)
+        for i, got in enumerate(model.scores(block)):
+            x, top = model.table[rows[bounds[i] : bounds[i + 1]]].sum(1), []
+            for k, w in enumerate(WIDTHS):
+                values = [[sum(float(x[t + j] @ model.filters[k][j][:, c]) for j in range(w)) + float(model.bias[k, c]) for c in range(FILTERS)] for t in range(len(x) - w + 1)]
+                top += [max([0.0, *(v[c] for v in values)]) for c in range(FILTERS)]
+            assert got == pytest.approx(1 / (1 + np.exp(-(np.array(top) @ model.out + model.out_bias))), abs=1e-5)
 
 
 def shingle_print(text):
@@ -366,6 +436,10 @@ def test_language(spark, tmp_path):
     assert all(got[i]["lang_pred"] == lang for i, _, lang, _ in docs[:300])
     assert [got[i]["lang_pred"] for i in (300, 301, 302, 306)] == ["und", "und", "und", "bb"]
     assert 0.7 < got[306]["score"] < 0.9
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    changed = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else lang, "other") for i, t, lang, _ in docs]
+    again = by_id(spark, "op10_language", write(spark, tmp_path / "h", changed))
+    assert again == got
 
 
 def test_language_path_is_the_best():
