@@ -19,8 +19,8 @@ rest and the left bytes agree; all but the earliest are repeats. Anchors give ea
 stretches to remove.
 
 The order's first part is the gram's hash, so ranges are even whatever the texts are. Copies fold
-within each run and then in the merge, and a receiver holds one part: its number of parts grows
-with the input. Rows of equal id and text count as one occurrence; rows without an id come last;
+within each run and then in the merge, and a receiver holds one part at a time: the number of parts
+grows with the input, of tasks up to ``MOST_PARTITIONS``. Rows of equal id and text count as one occurrence; rows without an id come last;
 texts under ``LENGTH`` bytes lose nothing; null is an empty text; empty tables give empty results.
 """
 
@@ -47,6 +47,7 @@ HEAD = 8
 KEY = HEAD + LENGTH + LEFT + 2
 HELD = 80_000
 PART_BYTES = 8 << 20
+MOST_PARTITIONS = 20_000
 SMALL_BLOCK = 256 << 10
 
 RUN = "part int, shared binary, rest binary, doc binary, row binary, at binary"
@@ -330,7 +331,7 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     # Two runs of the same pass: both results together would have to be kept on disk.
     runs = rows.mapInArrow(lean(lambda batches: sort(batches, False)), RUN)
-    merged = runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(merge), STRETCHES)
+    merged = runs.repartition(min(parts, MOST_PARTITIONS), "part").sortWithinPartitions("part").mapInArrow(lean(merge), STRETCHES)
     settled = rows.mapInArrow(lean(lambda batches: sort(batches, True)), STRETCHES)
     return merged.unionAll(settled).groupBy("doc", "row").agg(F.flatten(F.collect_list("at")).alias("at"))
 
