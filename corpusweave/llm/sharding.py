@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from corpusweave.llm.frames import apart, cut, fresh
 
 BUCKET_BYTES = 16 << 20
-PARTITION_BYTES = 256 << 20
+PARTITION_BYTES = 64 << 20
 MOST_PARTITIONS = 20_000
 OVERFULL = 4
 GROUP = 1024

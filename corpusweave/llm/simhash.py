@@ -230,17 +230,19 @@ def similar_links(rows: DataFrame, sets: DataFrame, similarity: float, crowd: in
 
     ``rows``: ``band`` and ``value`` of the bucket, ``f``, its fingerprint ``p`` and its set's ``size``; ``sets``: the ``shingles`` of each ``f``.
     """
-    met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("f", "p")).alias("first")).filter("n > 1")
-    rows = cut(rows.join(met, ["band", "value"]))
+    rows = rows.withColumn("bucket", F.xxhash64("band", "value"))
+    met = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("f", "p")).alias("first")).filter("n > 1")
+    rows = cut(join_salted(rows, met, "bucket", "f"))
     near = F.bit_count(F.col("p").bitwiseXOR(F.col("first.p"))) <= RADIUS
     one, two = sets.select(F.col("f").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("f").alias("b"), F.col("shingles").alias("y"))
     pairs = cut(rows.filter((F.col("f") != F.col("first.f")) & near).select(F.col("first.f").alias("a"), F.col("f").alias("b")).distinct())
     both = F.size(F.array_intersect("x", "y"))
     stars = cut(join_salted(pairs, one, "a", "b").join(two, "b").filter(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b"))
     joined = components(stars)
-    named = rows.filter("n > 2").join(joined, F.col("f") == F.col("node"), "left").select("band", "value", "f", "p", "size", F.coalesce("component", "f").alias("component"))
-    state = named.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "f").alias("main"))
-    undone = cut(named.join(state.filter("low != high").select("band", "value", "main"), ["band", "value"]).withColumn("late", F.col("component") != F.col("main")).drop("main"))
+    named = rows.filter("n > 2").join(joined, F.col("f") == F.col("node"), "left").select("bucket", "band", "value", "f", "p", "size", F.coalesce("component", "f").alias("component"))
+    state = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "f").alias("main"))
+    state = cut(state.filter("low != high").select("bucket", "main"))
+    undone = cut(join_salted(named, state, "bucket", "f").withColumn("late", F.col("component") != F.col("main")).drop("main", "bucket"))
     more = compared(late_blocks(undone, crowd).join(sets, "f"), similarity)
     return joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more).mapInArrow(lambda batches: batches, "a long, b long")  # new columns, as Spark can't carry the checkpoint's constraints through the unions of components
 
