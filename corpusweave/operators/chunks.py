@@ -1,8 +1,11 @@
 """Pages to chunks: sections, sentence packing, repeats within a chunk, identifiers.
 
-Packing carries state from sentence to sentence, so it is a Python pass over Arrow batches; a page's
-pieces stay on its row until they are exploded, and chunk numbers come from the pieces' order on the
-row, so nothing is shuffled before the keep-first dedup.
+Packing carries state from sentence to sentence, so it is a Python pass over Arrow batches: one for
+all of a page's parts, whose pieces stay on its row until they are exploded. Chunk numbers are the
+pieces' order on the row. Tags of a gazetteer of up to ``BROADCAST_NAMES`` names are found in a
+second such pass, so nothing is shuffled before the keep-first dedup; a larger gazetteer is joined.
+
+A token counter is any function of a text that adds up over white-space words.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +33,13 @@ def words(text: str) -> int:
 
 def hard_split(sentence: str, most: int, count: Callable[[str], int] = words) -> list[str]:
     """An over-long sentence cut after the words that bring a piece to the limit."""
-    out, held = [], []
+    out, held, used = [], [], 0
     for w in sentence.split():
         held.append(w)
-        if count(" ".join(held)) >= most:
+        used += count(w)
+        if used >= most:
             out.append(" ".join(held))
-            held = []
+            held, used = [], 0
     return out + [" ".join(held)] * bool(held)
 
 
@@ -57,12 +62,21 @@ def pack(text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, count: Calla
 def collapse_runs(text: str, longest: int = LONGEST_RUN) -> str:
     """Without the second of two equal runs of words that follow each other, longest first."""
     w = text.split()
+    ids: dict[str, int] = {}
+    number = np.fromiter((ids.setdefault(x, len(ids)) for x in w), np.int64, len(w))
+    if len(ids) == len(w):
+        return " ".join(w)
+    run = np.zeros(len(w), np.int64)
+    for n in range(1, min(longest, len(w) // 2) + 1):
+        same = np.concatenate(([0], np.cumsum(number[:-n] == number[n:])))
+        run[np.flatnonzero(same[n:] - same[:-n] == n)] = n
+    at = np.flatnonzero(run)
     out, i = [], 0
-    while i < len(w):
-        run = next((n for n in range(min(longest, (len(w) - i) // 2), 0, -1) if w[i : i + n] == w[i + n : i + 2 * n]), 0)
-        out += w[i : i + max(run, 1)]
-        i += 2 * run or 1
-    return " ".join(out)
+    while (k := int(np.searchsorted(at, i))) < len(at):
+        j = int(at[k])
+        out += w[i : j + int(run[j])]
+        i = j + 2 * int(run[j])
+    return " ".join(out + w[i:])
 
 
 def tidy(text: str) -> str:
@@ -74,9 +88,37 @@ def tidy(text: str) -> str:
     return collapse_runs(" ".join(kept))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def packed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [tidy(p) for p in pack(t or "")])
+def packer(count: Callable[[str], int] = words):
+    """A column function: a text's packed and tidied pieces."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [tidy(p) for p in pack(t or "", count=count)])
+
+    return packed
+
+
+packed = packer()
+
+PIECES = "array<struct<section_heading:string,chunk_type:string,raw_text:string,short:boolean>>"
+
+
+def page_packer(count: Callable[[str], int] = words):
+    """A column function of sections, stat line, dialogue and descriptions: all of a page's pieces, in order."""
+
+    @F.pandas_udf(PIECES)
+    def pieces(sections: pd.Series, card: pd.Series, dialogue: pd.Series, items: pd.Series) -> pd.Series:
+        made = []
+        for parts, line, said, described in zip(sections, card, dialogue, items, strict=True):
+            out = [("Stats", "body", tidy(line), True)] if line else []
+            for s in parts if parts is not None else ():
+                out += [(s["heading"], "body", tidy(p), False) for p in pack(s["content"] or "", count=count)]
+            for heading, kind, text in (("Dialogue", "dialogue", said), ("Item Description", "item_desc", described)):
+                out += [(heading, kind, tidy(p), False) for p in pack(text or "", count=count)]
+            made.append([dict(zip(("section_heading", "chunk_type", "raw_text", "short"), x, strict=True)) for x in out])
+        return pd.Series(made)
+
+    return pieces
 
 
 @F.pandas_udf(StringType())
@@ -117,29 +159,19 @@ def facets(stats: str = "stats") -> dict[str, Column]:
     return {"dlc": X.is_dlc(F.col("body_text")), "subject": F.col("title"), "weapon_type": leaf, **grade, "weight": F.col(f"{stats}.weight"), "fp_cost": F.col(f"{stats}.fp_cost"), "weak_to": F.col(f"{stats}.weak_to")}
 
 
-def chunk_pages(pages: DataFrame, gazetteer: DataFrame | None = None, site: str = "") -> DataFrame:
+def chunk_pages(pages: DataFrame, gazetteer: DataFrame | None = None, site: str = "", count: Callable[[str], int] = words) -> DataFrame:
     """Chunks of parsed pages: stats, then body sections, dialogue, descriptions; numbered over those that are kept."""
-    part = lambda section, kind, raw, short=False: F.struct(section.alias("section_heading"), F.lit(kind).alias("chunk_type"), raw.alias("raw_text"), F.lit(short).alias("short"))
-    base = pages.withColumns(facets() | {"_sections": X.sections(F.col("body_text")), "_stats": stats_text()})
-    sectioned = base.select("*", F.posexplode_outer("_sections").alias("_at", "_s")).withColumn("_packed", packed(F.coalesce(F.col("_s.content"), F.lit(""))))
-    heading = X.clean_heading(F.coalesce(F.col("_s.heading"), F.lit("Overview")), F.col("title"), site)
-    body = sectioned.groupBy("url").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_at", heading.alias("h"), "_packed"))), lambda s: F.transform(s["_packed"], lambda p: part(s["h"], "body", p)))).alias("_body"))
-    joined = base.join(body, "url")
-    lists = {"_dialogue": packed(F.array_join("dialogue", "\n")), "_items": packed(F.array_join("item_descriptions", "\n")), "_card": tidied(F.col("_stats"))}
-    rows = joined.withColumns(lists)
-    pieces = F.concat(
-        F.array(part(F.lit("Stats"), "body", F.col("_card"), True)), F.col("_body"),
-        F.transform("_dialogue", lambda p: part(F.lit("Dialogue"), "dialogue", p)), F.transform("_items", lambda p: part(F.lit("Item Description"), "item_desc", p)),
-    )
-    kept = F.filter(pieces, lambda p: X.keep_passage(p["raw_text"], p["short"]))
+    named = lambda s: F.struct(X.clean_heading(s["heading"], F.col("title"), site).alias("heading"), s["content"].alias("content"))
+    found = page_packer(count)(F.transform(X.sections(F.col("body_text")), named), stats_text(), F.array_join("dialogue", "\n"), F.array_join("item_descriptions", "\n"))
+    rows = pages.withColumns(facets()).withColumn("_pieces", found)
+    kept = F.filter("_pieces", lambda p: X.keep_passage(p["raw_text"], p["short"]))
     out = rows.select("*", F.posexplode(kept).alias("chunk_index", "_p")).select(*pages.columns, *(c for c in facets() if c not in pages.columns), "chunk_index", "_p.section_heading", "_p.chunk_type", "_p.raw_text")
     out = out.withColumn("chunk_id", X.chunk_id(F.col("url"), F.col("chunk_type"), F.col("chunk_index")))
     out = out.withColumn("text", F.concat(X.context_prefix(F.col("breadcrumb"), F.col("title"), F.col("section_heading")), F.lit("\n"), F.col("raw_text"))).withColumn("source_type", F.lit("wiki"))
     if gazetteer is None:
         return out.withColumn("entities", F.array().cast("array<string>"))
-    tags = E.tag(out, gazetteer, "chunk_id")
-    found = out.join(tags, "chunk_id", "left")
-    return found.withColumn("entities", E.cap(E.denoise(F.coalesce("entities", F.array().cast("array<string>")), F.col("breadcrumb"), F.col("title"), site)))
+    tagged = E.with_tags(out, gazetteer, "chunk_id")
+    return tagged.withColumn("entities", E.cap(E.denoise(F.coalesce("entities", F.array().cast("array<string>")), F.col("breadcrumb"), F.col("title"), site)))
 
 
 def dedup(chunks: DataFrame) -> DataFrame:

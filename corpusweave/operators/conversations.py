@@ -51,3 +51,28 @@ def turn_state(messages: DataFrame, key: str, order: str) -> DataFrame:
     """What appending messages implies: title from the first user turn, times, and number of turns."""
     title = F.min_by(F.when(F.col("role") == "user", F.substring("text", 1, TITLE_CHARS)), F.when(F.col("role") == "user", F.col(order)))
     return messages.groupBy(key).agg(F.coalesce(title, F.lit("New conversation")).alias("title"), F.min(order).alias("created_at"), F.max(order).alias("updated_at"), F.count(F.lit(1)).alias("n_messages"))
+
+
+def created(conversations: DataFrame, new: DataFrame) -> DataFrame:
+    """``conversations`` (conv_id, user_id, title) and those of ``new`` whose id isn't taken; without a title it is the default."""
+    titled = new.select("conv_id", "user_id", F.coalesce(F.nullif(F.trim(F.substring("title", 1, TITLE_CHARS)), F.lit("")), F.lit("New conversation")).alias("title"))
+    return conversations.select("conv_id", "user_id", "title").unionByName(titled.join(conversations.select("conv_id"), "conv_id", "left_anti"))
+
+
+def renamed(conversations: DataFrame, changes: DataFrame) -> DataFrame:
+    """New titles (conv_id, user_id, title) where the user owns the conversation and the title isn't blank."""
+    wanted = changes.groupBy("conv_id", "user_id").agg(F.max("title").alias("_title"))
+    cut = F.nullif(F.trim(F.substring("_title", 1, TITLE_CHARS)), F.lit(""))
+    return conversations.join(wanted, ["conv_id", "user_id"], "left").withColumn("title", F.coalesce(cut, "title")).drop("_title")
+
+
+def deleted(conversations: DataFrame, messages: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations and messages without those that their owners removed (conv_id, user_id)."""
+    kept = conversations.join(removed.select("conv_id", "user_id"), ["conv_id", "user_id"], "left_anti")
+    gone = conversations.join(removed.select("conv_id", "user_id"), ["conv_id", "user_id"], "left_semi")
+    return kept, messages.join(gone.select("conv_id"), "conv_id", "left_anti")
+
+
+def owned(conversations: DataFrame, user_id: int) -> DataFrame:
+    """One user's conversations; another's are as absent."""
+    return conversations.filter(F.col("user_id") == user_id)

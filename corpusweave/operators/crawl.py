@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.catalog import shared_folder
+
 DEEPEST = 8
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Written to the session's checkpoint folder, or to a temporary one where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"crawl-{uuid.uuid4().hex}"))
+    """Written to the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,6 +7,7 @@ gazetteer of up to ``BROADCAST_NAMES`` names is broadcast, a larger one is shuff
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +57,24 @@ def tag(texts: DataFrame, gazetteer: DataFrame, key: str, text: str = "text") ->
     return found.groupBy(key).agg(F.sort_array(F.collect_set("name")).alias("entities"))
 
 
+def with_tags(texts: DataFrame, gazetteer: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``texts`` with ``entities`` as of ``tag``; a gazetteer of up to ``BROADCAST_NAMES`` names is matched row by row, without a join."""
+    phrases = gazetteer.select("name", F.array_join(tokens(F.col("name")), " ").alias("phrase")).filter("phrase <> ''").groupBy("phrase").agg(F.min("name").alias("name"))
+    some = phrases.limit(BROADCAST_NAMES + 1).toArrow()
+    if len(some) > BROADCAST_NAMES:
+        return texts.join(tag(texts, gazetteer, key, text), key, "left")
+    known = dict(zip(some["phrase"].to_pylist(), some["name"].to_pylist(), strict=True))
+    lengths = sorted({p.count(" ") + 1 for p in known})
+    shipped = texts.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("array<string>")
+    def found(words: pd.Series) -> pd.Series:
+        name_of = shipped.value.get
+        return words.map(lambda w: sorted({name for n in lengths for i in range(len(w) - n + 1) if (name := name_of(" ".join(w[i : i + n])))}))
+
+    return texts.withColumn("entities", found(tokens(F.coalesce(F.col(text), F.lit("")))))
+
+
 def denoise(entities: Column, breadcrumb: Column, title: Column, site: str = "") -> Column:
     """Without stopped names, breadcrumb nodes and all-lower-case words; the page's own title in front."""
     stops = F.array(*map(F.lit, dict.fromkeys((*GLOBAL_STOPS, *STAT_STOPS, *([site] if site else [])))))

@@ -45,3 +45,12 @@ def report(rates: DataFrame, by: str, flags: tuple[str, ...]) -> str:
         share = [f"{row[f + '_hits']}/{row[f + '_known']}" if row[f + "_known"] else "n/a" for f in flags]
         lines.append(f"| {row[by] or 'all'} | {row['n']} | " + " | ".join(share) + " |")
     return "\n".join(lines) + "\n"
+
+
+def write_report(rates: DataFrame, by: str, flags: tuple[str, ...], folder: str, stamp: str) -> tuple[str, str]:
+    """``rates`` as JSON lines and as a Markdown table under ``folder``, named by ``stamp``; the two paths."""
+    data, page = f"{folder.rstrip('/')}/{stamp}.json", f"{folder.rstrip('/')}/{stamp}.md"
+    rates.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(data)
+    lines = [(x,) for x in report(rates, by, flags).splitlines()]
+    rates.sparkSession.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(page)
+    return data, page

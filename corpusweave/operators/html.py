@@ -15,11 +15,27 @@ from urllib.parse import urlsplit
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpusweave.catalog import spread
 from corpusweave.functions.text import FILE_ENDINGS, NAV_TERMS, SKIP_FRAGMENTS
 
 # Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CONTENT = (("div", "id", "wiki-content-block"), ("div", "class", "wiki-content"), ("article", "", ""))
+#: What is no content: element, attribute and value; ``*`` before a value: any part of the attribute, a fourth value: a class or id above it (``>`` right above).
+NOISE = (
+    ("div", "id", "wiki-commentslist"), ("div", "class", "wiki-commentslist"),
+    ("div", "class", "comments"), ("div", "id", "comments"),
+    ("div", "class", "col-sm-3", ">wiki-content-block"),
+    ("nav", "", ""), ("div", "class", "wiki-nav"), ("div", "id", "header"), ("header", "", ""),
+    ("div", "id", "footer"), ("footer", "", ""),
+    ("div", "class", "ads"), ("div", "class", "adsbygoogle"), ("div", "class", "*ad-"), ("div", "class", "*social"),
+    ("span", "class", "wiki-edit"), ("div", "class", "wiki-page-edit"),
+    ("div", "class", "wiki-page-discussion"),
+    ("div", "class", "wiki-rating"), ("div", "class", "*rating"),
+    ("div", "class", "toc", "wiki-content-block"),
+    ("div", "id", "breadcrumbs-container"),
+    ("script", "", ""), ("style", "", ""), ("iframe", "", ""), ("noscript", "", ""),
+)
 GRADE_LETTERS = "SABCDE"
 ATTRIBUTES = {"str": "str", "strength": "str", "dex": "dex", "dexterity": "dex", "int": "int", "intelligence": "int", "fai": "fai", "faith": "fai", "arc": "arc", "arcane": "arc"}
 LABELS = {"attack": "attack", "guard": "guard", "scaling": "scaling", "requires": "requires", "weak to": "weak_to", "strong vs": "strong_vs", "resistant": "resistant", "immune to": "immune", "effect": "effect"}
@@ -184,25 +200,22 @@ def links(root: Node, base: str, host: str, skip: tuple[str, ...] = (), discover
     return list(dict.fromkeys(u for u in urls if u and content_url(u, host, skip)))
 
 
+def _under(n: Node, owner: str) -> bool:
+    """Whether ``n`` lies in the element of id ``owner``, with ``>`` before it right in it."""
+    up = n.parent
+    if owner[0] == ">":
+        return up is not None and up.attrs.get("id") == owner[1:]
+    while up is not None and up.attrs.get("id") != owner:
+        up = up.parent
+    return up is not None
+
+
 def _noise(n: Node) -> bool:
-    kinds, own = n.attrs.get("class", ""), n.attrs.get("id", "")
-    names = kinds.split()
-    if n.name in ("script", "style", "iframe", "noscript", "nav", "header", "footer"):
-        return True
-    if n.name == "span":
-        return "wiki-edit" in names
-    if n.name != "div":
-        return False
-    if own in ("wiki-commentslist", "comments", "header", "footer", "breadcrumbs-container") or {"wiki-commentslist", "comments", "wiki-nav", "ads", "adsbygoogle", "wiki-page-edit", "wiki-page-discussion", "wiki-rating"} & set(names):
-        return True
-    if any(x in kinds for x in ("ad-", "social", "rating")):
-        return True
-    if "toc" in names:
-        up = n.parent
-        while up is not None and up.attrs.get("id") != "wiki-content-block":
-            up = up.parent
-        return up is not None
-    return "col-sm-3" in names and n.parent is not None and n.parent.attrs.get("id") == "wiki-content-block"
+    for name, key, value, *owner in NOISE:
+        own = n.name == name and value[1:] in n.attrs.get(key, "") if value[:1] == "*" else n.is_a(name, key, value)
+        if own and (not owner or _under(n, owner[0])):
+            return True
+    return False
 
 
 def strip_noise(root: Node) -> None:
@@ -417,4 +430,4 @@ def parse_pages(pages: DataFrame, base: str, host: str, site: str = "", skip: tu
             rows = [parse(h, u, base, host, site, skip) for u, h in zip(batch["url"], batch["html"], strict=True)]
             yield pd.DataFrame(rows, columns=["url", "title", "breadcrumb", "body_text", "infobox", "stats", "dialogue", "item_descriptions", "image_url", "internal_links", "discovery_links"])
 
-    return pages.select("url", "html").mapInPandas(run, SCHEMA)
+    return spread(pages.select("url", "html"), "url").mapInPandas(run, SCHEMA)

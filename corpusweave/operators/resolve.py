@@ -1,12 +1,15 @@
 """Mentions to names: fuzzy scores, frequency ties, shortlists and their binding.
 
-Names that can't reach the floor are left out before scoring where it is safe to: distinct mentions
-are few and are broadcast only under ``BROADCAST_MENTIONS``; the gazetteer stays spread out, and
-each task keeps the best few names of a mention before anything is shuffled.
+The mentions are a query set: their distinct texts meet the gazetteer in broadcast blocks of
+``BROADCAST_MENTIONS``, while the gazetteer stays spread out. Names below the floor are dropped in
+the task that scores them, so only possible answers are shuffled; they change no shortlist, as any
+name above the floor ranks before them and a best score below it leaves the shortlist empty.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +19,14 @@ SHORTLIST, FLOOR, TIE_BAND = 5, 60.0, 5.0
 BROADCAST_MENTIONS = 100_000
 
 
-def scored(mentions: DataFrame, gazetteer: DataFrame, score: Column | None = None) -> DataFrame:
-    """Every (mention, name) pair with its score: the few mentions against all names."""
+def scored(mentions: DataFrame, gazetteer: DataFrame, score: Column | None = None, floor: float = FLOOR) -> DataFrame:
+    """(mention, name) pairs of ``floor`` or more with their score."""
     distinct = mentions.select(F.trim("mention").alias("mention")).filter("mention <> ''").distinct()
-    if distinct.limit(BROADCAST_MENTIONS + 1).count() > BROADCAST_MENTIONS:
-        raise ValueError(f"resolve at most {BROADCAST_MENTIONS} distinct mentions at a time")
-    pairs = gazetteer.crossJoin(F.broadcast(distinct))
-    return pairs.withColumn("score", composite_score("mention", "name") if score is None else score)
+    blocks = -(-distinct.count() // BROADCAST_MENTIONS) or 1
+    block = lambda k: distinct.filter(F.pmod(F.xxhash64("mention"), F.lit(blocks)) == k) if blocks > 1 else distinct
+    value = composite_score("mention", "name") if score is None else score
+    pairs = [gazetteer.crossJoin(F.broadcast(block(k))).withColumn("score", value).filter(F.col("score") >= floor) for k in range(blocks)]
+    return reduce(DataFrame.unionAll, pairs)
 
 
 def ranked(pairs: DataFrame) -> DataFrame:

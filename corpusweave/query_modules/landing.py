@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave import config
-from corpusweave.catalog import table
+from corpusweave.catalog import scratch_path, table
 from corpusweave.operators.html import parse_pages
-from corpusweave.plans.retrieval import RetrievalPlan, clean_facets, guarded, shaped
 from corpusweave.registry import register
 from corpusweave.sources import collections, files
 
@@ -88,8 +83,8 @@ def h20(spark, sf):
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/landing-{uuid.uuid4().hex}"
+    """A folder of the shared scratch space, removed when the session ends."""
+    return scratch_path(spark)
 
 
 @register("s3_lenient_lines", "SELECT 'u' || doc_id AS url, lang AS category FROM documents WHERE doc_id % 5 <> 0")
@@ -153,7 +148,8 @@ def s10(spark, sf):
 @register("s12_settled", "SELECT count(*) AS n FROM embeddings")
 def s12(spark, sf):
     rows = _collection(spark, sf)
-    return collections.settled(rows, collections.aligned(rows, table(spark, sf, "embeddings"))).agg(F.count("*").alias("n"))
+    sent = collections.aligned(rows, table(spark, sf, "embeddings"))
+    return collections.settled(lambda: _collection(spark, sf), sent, wait=0.1, most=5).agg(F.count("*").alias("n"))
 
 
 @register("s13_versions", "SELECT vec_id AS point_id, CASE WHEN vec_id < 100 THEN 'new' ELSE md5(CAST(vec_id AS VARCHAR)) END AS chunk_id FROM embeddings")
@@ -186,22 +182,44 @@ def g2(spark, sf):
     return spark.read.parquet(path).select("doc_id")
 
 
-@register("f11_facet_whitelist", """SELECT '{"dlc": true, "scaling_dex_min": "C", "sort": "weight_desc"}' AS facets""")
+@register("f11_facet_whitelist", """
+SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN '{' || CASE WHEN p_size % 3 = 0 THEN '"scaling_dex_min": "C", ' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN '"sort": "weight_desc", ' ELSE '' END || '"weight_max": ' || p_size || '}' END AS facets FROM part""")
 def f11(spark, sf):
-    kept = clean_facets({"dlc": True, "enumerate_group": "x", "scaling_dex_min": "C", "scaling_luck_min": "A", "sort": "weight_desc"})
-    return table(spark, sf, "region").limit(1).select(F.lit(json.dumps(kept)).alias("facets"))
+    from corpusweave.plans.batch import known_facets
+
+    size = F.col("p_size")
+    some = F.struct(
+        F.when(size % 7 != 0, size).alias("weight_max"), F.col("p_type").alias("enumerate_group"), F.when((size % 7 != 0) & (size % 3 == 0), "C").alias("scaling_dex_min"),
+        F.lit("A").alias("scaling_luck_min"), F.when((size % 7 != 0) & (size % 2 == 0), "weight_desc").otherwise("by name").alias("sort"),
+    )
+    return table(spark, sf, "part").select("p_partkey", known_facets(F.to_json(some)).alias("facets"))
+
 
+def _plans(spark, sf, entities, query):
+    """A plan a row of ``part``, its fields from the row's size."""
+    from corpusweave.plans.batch import planned
 
-@register("f18_origin", "SELECT ['Y'] AS entities")
+    size = F.col("p_size")
+    intent = F.element_at(F.array(F.lit("summary"), F.lit("lore"), F.lit(None), F.lit("quest")), (size % 4 + 1).cast("int"))
+    kind = F.when(size % 5 == 0, "dialogue").otherwise("item_desc")
+    made = planned(F.lit("list them"), size % 2 == 0, entities, intent, F.when(size % 3 == 0, "boss"), kind, query)
+    return table(spark, sf, "part").select("p_partkey", made.alias("plan")).select("p_partkey", "plan.*")
+
+
+@register("f18_origin", """
+SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN ['X' || p_size, 'Y' || p_size] ELSE ['Y' || p_size] END AS entities FROM part""")
 def f18(spark, sf):
-    plan = shaped(RetrievalPlan("I am in X, how do I reach Y?", entities=("X", "Y"), query="how to reach Y from the X"))
-    return table(spark, sf, "region").limit(1).select(F.array(*map(F.lit, plan.entities)).alias("entities"))
+    k = F.col("p_size").cast("string")
+    query = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("how to reach Y"), k, F.lit(" from the X"), k)).when(F.col("p_size") % 3 == 1, F.concat(F.lit("From X"), k, F.lit(" to the south"))).otherwise(F.concat(F.lit("where is Y"), k))
+    return _plans(spark, sf, F.array(F.concat(F.lit("X"), k), F.concat(F.lit("Y"), k)), query).select("p_partkey", "entities")
 
 
-@register("g6_rules", "SELECT true AS retrieves, 14 AS k, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS chunk_type")
+@register("g6_rules", """
+SELECT p_partkey, p_size % 2 = 0 OR p_size % 7 = 0 OR p_size % 4 = 0 AS retrieves, CASE WHEN p_size % 4 IN (0, 3) THEN 14 ELSE 8 END AS k,
+CASE WHEN p_size % 3 = 0 AND p_size % 7 <> 0 AND p_size % 4 IN (1, 2) THEN 'boss' END AS category, CASE WHEN p_size % 5 = 0 THEN 'dialogue' END AS chunk_type FROM part""")
 def g6(spark, sf):
-    plan = shaped(guarded(RetrievalPlan("list them", needs_retrieval=False, intent="summary", category="boss", chunk_type="item_desc")))
-    return table(spark, sf, "region").limit(1).select(F.lit(plan.needs_retrieval).alias("retrieves"), F.lit(plan.k).alias("k"), F.lit(plan.category).cast("string").alias("category"), F.lit(plan.chunk_type).cast("string").alias("chunk_type"))
+    entities = F.when(F.col("p_size") % 7 == 0, F.array(F.lit("E"))).otherwise(F.array().cast("array<string>"))
+    return _plans(spark, sf, entities, F.lit(None).cast("string")).select("p_partkey", F.col("needs_retrieval").alias("retrieves"), "k", "category", "chunk_type")
 
 
 @register("x27_settings", "SELECT event_id, event_type IN ('view', 'click') AS flag, event_type AS provider, 'm:' || user_id AS model FROM events")
@@ -211,14 +229,13 @@ def x27(spark, sf):
     return table(spark, sf, "events").select("event_id", config.bool_column(text).alias("flag"), provider.alias("provider"), model.alias("model"))
 
 
-@register("g7_tiers", "SELECT 'second/m' AS answer")
+@register("g7_tiers", """
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'first/x' WHEN 1 THEN 'second/m:1' WHEN 2 THEN 'third/None' END AS answer FROM part""")
 def g7(spark, sf):
-    """The first tier fails retryably, the second answers."""
-
-    def ask(provider, model):
-        if provider == "first":
-            raise TimeoutError
-        return f"{provider}/{model}"
+    """Answers and empty answers, errors that pass on and one that doesn't, by tier."""
+    from corpusweave.plans.batch import tier_answer
 
-    answer = config.first_answer(["first:x", "second:m"], ask, (TimeoutError,))
-    return table(spark, sf, "region").limit(1).select(F.lit(answer).alias("answer"))
+    ways = ("ok", "ok", "ok"), ("retry", "ok", "ok"), ("empty", "retry", "ok"), ("retry", "denied", "ok"), ("retry", "retry", "retry")
+    outcomes = F.element_at(F.array(*(F.array(*map(F.lit, w)) for w in ways)), (F.col("p_size") % 5 + 1).cast("int"))
+    specs = F.array(F.lit("first:x"), F.lit(" Second : m:1"), F.lit("third"))
+    return table(spark, sf, "part").select("p_partkey", tier_answer(specs, outcomes).alias("answer"))

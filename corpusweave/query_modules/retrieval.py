@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusweave.catalog import table
@@ -232,11 +232,11 @@ def t7(spark, sf):
 
 
 @register("w6_context", f"""
-WITH RECURSIVE b AS (SELECT row_number() OVER (ORDER BY point_id) AS i, '=== ' || title || CASE WHEN section_heading = 'Overview' THEN '' ELSE ' · ' || section_heading END || ' ===' || chr(10) || raw_text AS block FROM ({CHUNKS}) c WHERE point_id < 60),
-r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, ''::VARCHAR AS context UNION ALL SELECT b.i, CASE WHEN used + length(block) <= 500 THEN used + length(block) ELSE used END, CASE WHEN used + length(block) > 500 THEN context WHEN context = '' THEN block ELSE context || chr(10) || chr(10) || block END FROM r JOIN b ON b.i = r.i + 1)
+WITH RECURSIVE b AS (SELECT row_number() OVER (ORDER BY point_id) AS i, '=== ' || title || CASE WHEN section_heading = 'Overview' THEN '' ELSE ' · ' || section_heading END || ' ===' || chr(10) || raw_text AS block FROM ({CHUNKS}) c),
+r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, ''::VARCHAR AS context UNION ALL SELECT b.i, CASE WHEN used + length(block) <= 12000 THEN used + length(block) ELSE used END, CASE WHEN used + length(block) > 12000 THEN context WHEN context = '' THEN block ELSE context || chr(10) || chr(10) || block END FROM r JOIN b ON b.i = r.i + 1)
 SELECT context FROM r ORDER BY i DESC LIMIT 1""")
 def w6(spark, sf):
-    return assemble.context(chunks(spark, sf).filter("point_id < 60").withColumn("rank", F.col("point_id")), 500)
+    return assemble.context(chunks(spark, sf).withColumn("rank", F.col("point_id")))
 
 
 @register("a12_answer_stats", f"SELECT count(*) AS n_chunks, count(DISTINCT url) AS n_pages, list(title ORDER BY point_id)[1:3] AS top_titles FROM ({CHUNKS}) c")
@@ -255,7 +255,19 @@ def a6(spark, sf):
 
 @register("s8_vectors", "SELECT vec_id, len(embedding) AS dim, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings")
 def s8(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("dim"), F.round(norm(F.col("embedding")), 5).alias("norm"))
+    """Vectors through ``.npy`` files and back, row by row in step with their ids."""
+    from corpusweave.catalog import scratch
+    from corpusweave.sources.collections import aligned, read_npy, write_npy
+
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")).repartition(1)
+    with scratch(spark) as path:
+        write_npy(rows, path, "vec_id")
+        back = read_npy(spark, path)
+        aligned(rows, back)
+        place = F.row_number().over(Window.orderBy("vec_id"))
+        ids = rows.select("vec_id", place.alias("place"))
+        found = back.select("vector", F.row_number().over(Window.orderBy("file", "at")).alias("place"))
+        return ids.join(found, "place").select("vec_id", F.size("vector").alias("dim"), F.round(norm(F.col("vector")), 5).alias("norm")).checkpoint()
 
 
 @register("s11_upsert", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 100 + label ELSE label END AS label FROM embeddings")

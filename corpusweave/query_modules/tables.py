@@ -78,15 +78,15 @@ def x20(spark, sf):
     return docs(spark, sf).select("doc_id", F.transform(out, lambda e: F.regexp_replace(e, "^Y", "")).alias("entities"))
 
 
-@register("t10_entity_cap", "SELECT doc_id, list_sort(list_distinct(string_split(text, ' ')))[1:30] AS entities FROM documents WHERE n_chars < 2000")
+@register("t10_entity_cap", "SELECT doc_id, list_sort(list_distinct(string_split(text, ' ')))[1:30] AS entities FROM documents")
 def t10(spark, sf):
-    return docs(spark, sf).filter("n_chars < 2000").select("doc_id", entities.cap(F.sort_array(F.array_distinct(F.split("text", " ")))).alias("entities"))
+    return docs(spark, sf).select("doc_id", entities.cap(F.sort_array(F.array_distinct(F.split("text", " ")))).alias("entities"))
 
 
 _SIM = "100.0 * (1 - levenshtein(lower(mention), lower(name)) / greatest(length(mention), length(name)))"
 _PAIRS = f"""
-WITH m AS (SELECT DISTINCT p_name AS mention FROM part WHERE p_partkey <= 10), g AS (SELECT p_name AS name, count(*) AS freq FROM part WHERE p_partkey <= 400 GROUP BY p_name),
-p AS (SELECT mention, name, freq, {_SIM} AS score FROM m, g),
+WITH m AS (SELECT DISTINCT p_name AS mention FROM part), g AS (SELECT p_name AS name, count(*) AS freq FROM part GROUP BY p_name),
+p AS (SELECT * FROM (SELECT mention, name, freq, {_SIM} AS score FROM m, g) WHERE score >= 60),
 b AS (SELECT *, max(score) OVER (PARTITION BY mention) - score <= 5 AS in_band FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY in_band DESC, CASE WHEN in_band THEN freq ELSE score END DESC, score DESC, freq DESC, name) AS rank FROM b),
 s AS (SELECT mention, name, score, row_number() OVER (PARTITION BY mention ORDER BY rank) AS rank FROM r WHERE score >= 60),
@@ -96,8 +96,8 @@ k AS (SELECT * FROM s WHERE rank <= 5)
 
 def _pairs(spark, sf):
     part = table(spark, sf, "part")
-    mentions = part.filter("p_partkey <= 10").select(F.col("p_name").alias("mention"))
-    names = part.filter("p_partkey <= 400").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("freq"))
+    mentions = part.select(F.col("p_name").alias("mention"))
+    names = part.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("freq"))
     score = 100.0 * (1 - F.levenshtein(F.lower("mention"), F.lower("name")) / F.greatest(F.length("mention"), F.length("name")))
     return resolve.scored(mentions, names, score)
 
@@ -123,6 +123,13 @@ def w11(spark, sf):
     return resolve.accepted(resolve.shortlist(_pairs(spark, sf))).select("mention", "name", F.round("gap", 4).alias("gap"), "accepted")
 
 
+@register("x12_metaphone")
+def x12_metaphone(spark, sf):
+    from corpusweave.functions.similarity import metaphone_key
+
+    return table(spark, sf, "part").select("p_partkey", metaphone_key("p_name").alias("key"))
+
+
 @register("x11_fuzzy_score")
 def x11(spark, sf):
     part = table(spark, sf, "part")
@@ -156,9 +163,9 @@ def a7(spark, sf):
 
 
 @register("a8_question_scores", """
-SELECT doc_id, true AS entity_hit, doc_id % 2 = 0 AS intent_hit, source = 'src1' AS top1_title_match, round(CASE WHEN source = 'src1' THEN 2 ELSE 1 END / 3.0::DOUBLE, 2) AS top3_entity_coverage, contains(lower(text), 'src1') AS answer_mentions_entity FROM documents WHERE source IN ('src1', 'src2')""")
+SELECT doc_id, true AS entity_hit, doc_id % 2 = 0 AS intent_hit, contains(lower(source), 'src1') AS top1_title_match, round(CASE WHEN contains(lower(source), 'src1') THEN 2 ELSE 1 END / 3.0::DOUBLE, 2) AS top3_entity_coverage, contains(lower(text), 'src1') AS answer_mentions_entity FROM documents""")
 def a8(spark, sf):
-    rows = docs(spark, sf).filter("source in ('src1', 'src2')").select(
+    rows = docs(spark, sf).select(
         "doc_id", F.lit("Src1,").alias("expected_entity"), F.lit("lore").alias("expected_intent"), F.lit("").alias("expected_group"), F.array(F.lit("the src1 page")).alias("entities"),
         F.when(F.col("doc_id") % 2 == 0, "lore").alias("intent"), F.lit(None).cast("string").alias("group"), F.array("source", F.lit("SRC1"), F.lit("other"), F.lit("src1")).alias("titles"), F.lit(0).alias("roster_size"), F.col("text").alias("answer"),
     )
@@ -240,15 +247,16 @@ def a11(spark, sf):
     return entities.gazetteer_names(table(spark, sf, "pages").select(F.lit("").alias("title"), F.array("url").alias("links")))
 
 
-@register("u3_ordered_distinct", "SELECT conv_id, list(DISTINCT role ORDER BY role) AS roles FROM conversations GROUP BY conv_id")
+@register("u3_ordered_distinct", "SELECT conv_id, list(role ORDER BY first) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")
 def u3(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_distinct(F.sort_array(F.collect_list("role"))).alias("roles"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role")))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_distinct(F.transform(turns, lambda t: t["role"])).alias("roles"))
 
 
-@register("u4_difference", r"SELECT doc_id, list_filter(string_split(text, ' '), lambda w: NOT list_contains(['the', 'and', 'de'], w)) AS kept FROM documents WHERE n_chars < 1000")
+@register("u4_difference", r"SELECT doc_id, list_filter(string_split(text, ' '), lambda w: NOT list_contains(['the', 'and', 'de'], w)) AS kept FROM documents")
 def u4(spark, sf):
     kept = F.filter(F.split("text", " "), lambda w: ~w.isin("the", "and", "de"))
-    return docs(spark, sf).filter("n_chars < 1000").select("doc_id", kept.alias("kept"))
+    return docs(spark, sf).select("doc_id", kept.alias("kept"))
 
 
 @register("u5_distinct_ids", "SELECT count(*) = count(DISTINCT doc_id) AS unique_ids FROM documents")
@@ -281,11 +289,18 @@ def h1(spark, sf):
     return crawl.descend(pages, pages.filter("url = 'u0'"))
 
 
-@register("s2_cache_names", "SELECT page_id, md5(url) || '.html' AS file FROM pages")
+@register("s2_cache_names", "SELECT page_id, md5(url) || '.html' AS file, page_id % 2 = 0 AS hit, CASE WHEN page_id % 2 = 0 THEN length(html) END AS n FROM pages")
 def s2(spark, sf):
-    from corpusweave.sources.files import cache_name
+    """Half of the pages are landed; reading through the cache parts the manifest into hits and what is left to fetch."""
+    from corpusweave.catalog import scratch
+    from corpusweave.sources.files import cache_hits, read_cached_pages, write_cached_pages
 
-    return table(spark, sf, "pages").select("page_id", cache_name(F.col("url")).alias("file"))
+    pages = table(spark, sf, "pages")
+    with scratch(spark) as path:
+        write_cached_pages(pages.filter("page_id % 2 = 0"), path)
+        hits, left = cache_hits(pages.select("page_id", "url"), read_cached_pages(spark, path))
+        rows = hits.select("page_id", "file", F.lit(True).alias("hit"), F.length("html").cast("long").alias("n")).unionAll(left.select("page_id", "file", F.lit(False), F.lit(None).cast("long")))
+        return rows.checkpoint()
 
 
 @register("s1_landed_pages", "SELECT page_id, url, length(html) AS n FROM pages")
@@ -293,9 +308,19 @@ def s1(spark, sf):
     return table(spark, sf, "pages").select("page_id", "url", F.length("html").cast("long").alias("n"))
 
 
-@register("s16_messages", "SELECT role, count(*) AS n, count(DISTINCT conv_id) AS convs FROM conversations GROUP BY role")
+@register("s16_messages", """
+SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'renamed ' || conv_id ELSE 'New conversation' END AS title, n FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) WHERE conv_id % 3 = 1 AND conv_id % 5 <> 0""")
 def s16(spark, sf):
-    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("convs"))
+    """The store of one user after creating, renaming and deleting; changes to other users' conversations have no effect."""
+    messages = table(spark, sf, "conversations")
+    new = messages.select("conv_id", (F.col("conv_id") % 3).alias("user_id"), F.lit(" ").alias("title")).distinct()
+    store = C.created(new.limit(0), new)
+    mine = new.filter("user_id = 1").withColumn("title", F.concat(F.lit("renamed "), F.col("conv_id").cast("string")))
+    others = new.withColumns({"user_id": F.col("user_id") + 1, "title": F.lit("stolen")})
+    store = C.renamed(store, mine.filter("conv_id % 2 = 0").unionByName(others))
+    store, left = C.deleted(store, messages, new.filter("conv_id % 5 = 0").unionByName(others))
+    counts = left.groupBy("conv_id").agg(F.count("*").alias("n"))
+    return C.owned(store, 1).join(counts, "conv_id").select("conv_id", "title", "n")
 
 
 @register("s19_log_lines", """SELECT event_id, '{"severity":"INFO","logger":"events","message":"' || event_type || '","user":' || user_id || '}' AS line FROM events""")
@@ -314,13 +339,16 @@ def s20(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", made.alias("frame"), F.get(frames(made), F.lit(0))["event"].alias("event"))
 
 
-@register("g1_answer_frames", "SELECT conv_id, 5 + count(*) - 1 AS n_frames FROM conversations GROUP BY conv_id")
+@register("g1_answer_frames", """
+SELECT conv_id, 'meta,' || repeat('token,', CAST(count(*) AS INT)) || 'sources,images,done' AS events, md5(string_agg(text, chr(0) ORDER BY turn)) AS said FROM conversations GROUP BY conv_id""")
 def g1(spark, sf):
     from corpusweave.sources.events import answer_frames, frames
 
-    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("text")).alias("tokens"))
-    stream = answer_frames(F.lit("{}"), F.col("tokens"), F.lit("[]"), F.lit("[]"), F.lit(None).cast("string"))
-    return rows.select("conv_id", F.size(F.filter(frames(stream), lambda f: f["event"] != "")).cast("long").alias("n_frames"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(turns, lambda t: t["text"]).alias("tokens"))
+    stream = frames(answer_frames(F.lit("{}"), F.col("tokens"), F.lit("[]"), F.lit("[]"), F.lit(None).cast("string")))
+    said = F.transform(F.filter("frames", lambda f: f["event"] == "token"), lambda f: F.get_json_object(f["data"], "$.text"))
+    return rows.select("conv_id", stream.alias("frames")).select("conv_id", F.array_join(F.transform("frames", lambda f: f["event"]), ",").alias("events"), F.md5(F.array_join(said, "\0").cast("binary")).alias("said"))
 
 
 @register("s17_dialogues", r"SELECT conv_id AS convo, CAST(turn AS BIGINT) AS turn, 'Q' || CAST(turn AS VARCHAR) AS question FROM (SELECT conv_id, unnest(range(0, 2)) AS turn FROM (SELECT DISTINCT conv_id FROM conversations))")
@@ -333,7 +361,15 @@ def s17(spark, sf):
 
 @register("s18_report", "SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars > 1000) AS long_hits, count(*) AS long_known FROM documents GROUP BY ROLLUP (lang)")
 def s18(spark, sf):
-    return evaluate.hit_rates(docs(spark, sf).withColumn("long", F.col("n_chars") > 1000), "lang", "long")
+    """The rates as read back from the report that was written."""
+    from corpusweave.catalog import scratch
+
+    rates = evaluate.hit_rates(docs(spark, sf).withColumn("long", F.col("n_chars") > 1000), "lang", "long")
+    with scratch(spark) as path:
+        data, page = evaluate.write_report(rates, "lang", ("long",), path, "20260101-000000")
+        if spark.read.text(page).count() != rates.count() + 2:
+            raise ValueError("the page and the rates differ")
+        return spark.read.schema("lang string, n long, long_hits long, long_known long").json(data).checkpoint()
 
 
 @register("w5_packing", None)
@@ -358,12 +394,12 @@ def h23(spark, sf):
     return found.select("url", "title", F.size("breadcrumb").alias("n_crumbs"), F.length("body_text").alias("n_body"), F.size("internal_links").alias("n_links"), F.size("dialogue").alias("n_dialogue"))
 
 
-@register("h8_titles", "SELECT url, trim(split_part(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '|', 1)) AS title FROM pages WHERE NOT contains(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&')")
+@register("h8_titles", r"""
+SELECT url, trim(split_part(replace(replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '|', 1)) AS title FROM pages""")
 def h8(spark, sf):
     from corpusweave.operators.html import parse_pages
 
-    raw = table(spark, sf, "pages").filter(~F.contains(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1), F.lit("&")))
-    return parse_pages(raw, "https://pages.example.org", "pages.example.org").select("url", "title")
+    return parse_pages(table(spark, sf, "pages"), "https://pages.example.org", "pages.example.org").select("url", "title")
 
 
 @register("x7_chunks", None)
@@ -409,26 +445,26 @@ def x9(spark, sf):
 @register("g4_incremental", "SELECT count(*) AS n_rows, count(DISTINCT md5(source || chr(10) || text)) AS n_texts FROM (SELECT DISTINCT source, text FROM documents)")
 def g4(spark, sf):
     """Documents landed as files, streamed once, each content taken once."""
-    import tempfile
-    import uuid
-
+    from corpusweave.catalog import scratch
     from corpusweave.streaming import incremental
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    base = f"{shared.rstrip('/')}/incremental-{uuid.uuid4().hex}"
     schema = ", ".join(f"{n} {t}" for n, t in docs(spark, sf).dtypes)
-    docs(spark, sf).write.parquet(f"{base}/landed")
-    fresh = incremental.new_content(incremental.landed(spark, f"{base}/landed", schema), "source", "text")
-    incremental.run_available(fresh, f"{base}/state", incremental.batch_folder(f"{base}/out"))
-    return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("n_rows"), F.count_distinct("content_hash").alias("n_texts"))
+    with scratch(spark) as base:
+        docs(spark, sf).write.parquet(f"{base}/landed")
+        fresh = incremental.new_content(incremental.landed(spark, f"{base}/landed", schema), "source", "text")
+        incremental.run_available(fresh, f"{base}/state", incremental.batch_folder(f"{base}/out"))
+        return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("n_rows"), F.count_distinct("content_hash").alias("n_texts")).checkpoint()
 
 
-@register("g8_bind", "SELECT conv_id, 'Malenia' AS name FROM (SELECT DISTINCT conv_id FROM conversations)")
+@register("g8_bind", """
+SELECT p_partkey, CASE WHEN (p_size % 2 = 1 AND p_size % 12 >= 5) OR p_size % 12 >= 10 THEN ['Melina'] WHEN p_size % 4 = 0 THEN CAST([] AS VARCHAR[]) WHEN p_size % 4 = 2 THEN ['Malenia'] ELSE ['Melina'] END AS names FROM part""")
 def g8(spark, sf):
-    from corpusweave.plans.retrieval import bind_choices
+    """A dominant first name is taken at once; else the pick decides, 0 is none and an index out of range the first."""
+    from corpusweave.plans.batch import bound
 
-    name = bind_choices({"Melania": [("Melina", 92.0), ("Malenia", 91.0)]}, {"melania": 2})[0]
-    return table(spark, sf, "conversations").select("conv_id").distinct().withColumn("name", F.lit(name))
+    top = F.when(F.col("p_size") % 2 == 1, 96.0).otherwise(92.0)
+    names = bound(F.lit("Melania"), F.array(F.lit("Melina"), F.lit("Malenia")), F.array(top, top - F.col("p_size") % 12), (F.col("p_size") % 4).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", names.alias("names"))
 
 
 @register("ext_running_total", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS running FROM orders")

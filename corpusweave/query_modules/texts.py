@@ -73,6 +73,14 @@ def x10(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long").alias("n_tokens"))
 
 
+@register("x10_word_pieces")
+def x10_word_pieces(spark, sf):
+    """Word pieces under the least vocabulary; a vocabulary file is the operator's parameter."""
+    from corpusweave.functions import tokens
+
+    return table(spark, sf, "documents").select("doc_id", tokens.counted(tokens.WordPieces(tokens.letter_vocabulary()))("text").alias("n_pieces"))
+
+
 @register("x12_phonetic", r"""
 SELECT p_partkey, soundex_key FROM (SELECT p_partkey, substr(lower(p_name), 1, 1) || regexp_replace(substr(lower(p_name), 2), '[aeiou]', '', 'g') AS k FROM part),
 LATERAL (SELECT list_reduce(list_transform(range(1, length(k) + 1), lambda i: CASE WHEN i > 1 AND substr(k, i, 1) = substr(k, i - 1, 1) THEN '' ELSE substr(k, i, 1) END), lambda a, b: a || b) AS soundex_key)""")

@@ -48,8 +48,16 @@ def cache_name(url):
     return F.concat(F.md5(url.cast("binary")), F.lit(".html"))
 
 
-def read_cached_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, html) of a folder of landed pages."""
+def write_cached_pages(pages: DataFrame, folder: str) -> None:
+    """Fetched pages (url, html) into the cache: rows of (file, html), in folders by the name's first two digits."""
+    named = pages.select(cache_name(F.col("url")).alias("file"), "html")
+    named.withColumn("lead", F.substring("file", 1, 2)).write.mode("append").partitionBy("lead").parquet(folder)
+
+
+def read_cached_pages(spark: SparkSession, folder: str, loose: bool = False) -> DataFrame:
+    """(file, html) of the cache; with ``loose``, of a folder of single ``.html`` files."""
+    if not loose:
+        return spark.read.parquet(folder).select("file", "html")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").cast("string").alias("html"))
 
@@ -57,4 +65,5 @@ def read_cached_pages(spark: SparkSession, folder: str) -> DataFrame:
 def cache_hits(manifest: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Manifest rows with their landed HTML, and those that still have to be fetched."""
     named = manifest.withColumn("file", cache_name(F.col("url")))
-    return named.join(cached, "file"), named.join(cached.select("file"), "file", "left_anti")
+    once = cached.dropDuplicates(["file"])
+    return named.join(once, "file"), named.join(once.select("file"), "file", "left_anti")

@@ -187,10 +187,10 @@ def test_collections(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "point_id long, chunk_id string, category string")
     S.create(rows, f"{tmp_path}/v=1")
     merged = S.next_version(spark, str(tmp_path), 1, rows.withColumns({"chunk_id": F.lit("z"), "batch_at": F.lit(1)}).filter("point_id = 2"))
-    assert {r["point_id"]: r["chunk_id"] for r in S.settled(merged, 2).collect()} == {1: "a", 2: "z"}
+    assert {r["point_id"]: r["chunk_id"] for r in S.settled(lambda: merged, 2).collect()} == {1: "a", 2: "z"}
     assert S.aligned(rows, merged) == 2
     with pytest.raises(ValueError):
-        S.settled(merged, 3)
+        S.settled(lambda: merged, 3, wait=0.01, most=0.05)
 
 
 def test_stream_is_idempotent(spark, tmp_path):
