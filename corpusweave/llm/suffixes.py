@@ -4,10 +4,12 @@ A byte is removed when a string of ``LENGTH`` bytes that covers it starts earlie
 document, or earlier in the same one. Equal strings hold the same anchor at the same offset: the
 place of the least hash among their ``GRAM``-byte grams. So only suffixes at anchors are sorted,
 about one in thirty-three, and of these only those whose gram a count-min sketch (see
-``substrings``; bounded, merged from partial sketches, losing none) has counted twice or more.
+``substrings``; merged from partial sketches, losing none, broadcast or dealt over slices by its
+size) has counted twice or more.
 
 Each task sorts its suffixes, with the bytes left of the anchor as the rest of the key, folds equal
-keys into the earliest of them, and cuts the sorted run at fixed splitters of the order. Runs are
+keys into the earliest of them, and cuts the sorted run at fixed splitters of the order. What it
+folds goes out beside the run, from one run of the pass, so results don't depend on tasks. Runs are
 exchanged front-coded: for each suffix the length of the prefix it shares with the one before, and
 the other bytes. Each receiver merges its runs with a loser tree whose nodes carry common prefix
 lengths: the longer one wins unseen, and equal ones are compared from there on, so known prefixes
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm.frames import fresh
-from corpusweave.llm.substrings import LAST, maybe_repeated, sketch, sketch_bits, sliding_min
+from corpusweave.llm.substrings import LAST, MOST_PARTITIONS, prefiltered, sliding_min
 from corpusweave.llm.textblocks import _BYTES, Block, blocks, lean, mix, whole_windows
 
 LENGTH = 100
@@ -47,7 +49,6 @@ HEAD = 8
 KEY = HEAD + LENGTH + LEFT + 2
 HELD = 80_000
 PART_BYTES = 8 << 20
-MOST_PARTITIONS = 20_000
 SMALL_BLOCK = 256 << 10
 
 RUN = "part int, shared binary, rest binary, doc binary, row binary, at binary"
@@ -116,8 +117,8 @@ def whole_stretch(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return right + left >= LENGTH, at - left, at + right
 
 
-def by_document(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Stretches, united where they meet, as one list a document."""
+def united(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches in order, united where they meet in a document."""
     order = np.lexsort((start, row, doc))
     doc, row, start, end = (x[order] for x in (doc, row, start, end))
     n = len(doc)
@@ -126,10 +127,14 @@ def by_document(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.nda
     reach = np.maximum.accumulate(end + base)
     gap = np.flatnonzero(apart | np.concatenate(([True], (start + base)[1:] > reach[:-1]))[:n])
     last = np.concatenate((gap[1:] - 1, [n - 1])).astype(np.int64) if n else gap
-    runs = np.stack([start[gap], (reach - base)[last]], 1).ravel().astype(np.int32)
-    each = np.flatnonzero(apart)
-    offsets = (2 * np.concatenate((np.searchsorted(gap, each), [len(gap)]))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(doc[each], pa.int64()), pa.array(row[each], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(runs))], ["doc", "row", "at"])
+    return doc[gap], row[gap], start[gap], (reach - base)[last]
+
+
+def by_document(doc: np.ndarray, row: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    """United stretches (starts, then ends) as one list a document."""
+    each = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))[: len(doc)])
+    offsets = (2 * np.append(each, len(doc))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(doc[each]), pa.array(row[each]), pa.ListArray.from_arrays(offsets, pa.array(bounds.reshape(2, -1).T.ravel()))], ["doc", "row", "at"])
 
 
 def by_stretch(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -139,16 +144,26 @@ def by_stretch(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.ListArray.from_arrays(offsets, bounds)], ["doc", "row", "at"])
 
 
-def sorted_run(keys: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int, settled: bool) -> Iterator[pa.RecordBatch]:
-    """One sorted run, cut into parts and front-coded; or (``settled``) the stretches that it settles by itself."""
+RUN_COLUMNS = ["part", "shared", "rest", "doc", "row", "at"]
+
+
+def anchor_marks(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a block's anchor grams and the places of their texts."""
+    at, grams = anchors(block)
+    return grams, np.searchsorted(block.bounds, at, "right") - 1
+
+
+def sorted_run(keys: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """One sorted run, cut into parts and front-coded, and the stretches that it settles by itself (no ``shared``; ``at`` holds starts, then ends)."""
     order = np.argsort(np.ascontiguousarray(keys).view(f"S{KEY}").ravel(), kind="stable")
     keys, doc, row, at = keys[order], doc[order], row[order], at[order]
     earliest, others = fold(shared_prefixes(keys), doc, row, at)
-    if settled:
-        fits, start, end = whole_stretch(keys[others], at[others])
-        if fits.any():
-            yield by_document(doc[others][fits], row[others][fits], start[fits], end[fits])
-        return
+    fits, start, end = whole_stretch(keys[others], at[others])
+    if fits.any():
+        gone = united(doc[others][fits], row[others][fits], start[fits], end[fits])
+        part = int(mix(gone[0][:1].view(np.uint64) + np.uint64(len(gone[0])))[0] % np.uint64(parts))
+        ends = np.concatenate(gone[2:]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (None, None, gone[0].tobytes(), gone[1].tobytes(), ends.tobytes()))], RUN_COLUMNS)
     keys, doc, row, at = keys[earliest], doc[earliest], row[earliest], at[earliest]
     head = keys[:, :4].copy().view(">u4").ravel().astype(np.uint64)
     part = (head * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -161,7 +176,7 @@ def sorted_run(keys: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarra
         out.append((int(part[a]), shared[a:b].astype(np.uint8).tobytes(), rest.tobytes(), doc[a:b].tobytes(), row[a:b].tobytes(), at[a:b].astype(np.int32).tobytes()))
     for a in range(0, len(out), 64):
         columns = zip(*out[a : a + 64], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.int32()), *(pa.array(list(c), pa.binary()) for c in columns)], ["part", "shared", "rest", "doc", "row", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.int32()), *(pa.array(list(c), pa.binary()) for c in columns)], RUN_COLUMNS)
 
 
 class FrontCoded:
@@ -288,24 +303,23 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch_bits(size, (LEFT + 2) / 2)
-    shipped = spark.sparkContext.broadcast(sketch(rows, bits, lambda block: anchors(block)[1], block_bytes=SMALL_BLOCK))
+    rows, maybe = prefiltered(rows, size, (LEFT + 2) / 2, anchor_marks, SMALL_BLOCK)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
 
-    def sort(batches: Iterator[pa.RecordBatch], settled: bool) -> Iterator[pa.RecordBatch]:
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            yield from sorted_run(*columns, parts, settled)
+            yield from sorted_run(*columns, parts)
 
         for batch in batches:
             docs_of, rows_of = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for block in blocks(batch.column(2), SMALL_BLOCK):
                 at, grams = anchors(block)
-                maybe = maybe_repeated(grams, shipped.value, bits)
-                at, grams = at[maybe], grams[maybe]
+                ok = maybe(batch, block, grams)
+                at, grams = at[ok], grams[ok]
                 for lo in range(0, len(at), HELD):
                     some = at[lo : lo + HELD]
                     owner = np.searchsorted(block.bounds, some, "right") - 1
@@ -325,15 +339,16 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                         yield out
                     blobs = []
                 now = values[0]
-                blobs.append(values[1:])
+                if values[1] is None:
+                    yield by_document(*(np.frombuffer(v, t) for v, t in zip(values[3:], (np.int64, np.int64, np.int32), strict=True)))
+                else:
+                    blobs.append(values[1:])
         if blobs and (out := merge_part(blobs)) is not None:
             yield out
 
-    # Two runs of the same pass: both results together would have to be kept on disk.
-    runs = rows.mapInArrow(lean(lambda batches: sort(batches, False)), RUN)
+    runs = rows.mapInArrow(lean(sort), RUN)
     merged = runs.repartition(min(parts, MOST_PARTITIONS), "part").sortWithinPartitions("part").mapInArrow(lean(merge), STRETCHES)
-    settled = rows.mapInArrow(lean(lambda batches: sort(batches, True)), STRETCHES)
-    return merged.unionAll(settled).groupBy("doc", "row").agg(F.flatten(F.collect_list("at")).alias("at"))
+    return merged.groupBy("doc", "row").agg(F.flatten(F.collect_list("at")).alias("at"))
 
 
 def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -455,3 +455,38 @@ def test_language_path_is_the_best():
         assert cost(viterbi(e, 4.0)) == pytest.approx(best)
         top, sure = settled(e, np.array([0, 6]), 4.0)
         assert not sure[0] or cost([top[0]] * 6) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("name", ["op2_suffixes", "op4_substrings"])
+@pytest.mark.parametrize("held", [500, 100_000])
+def test_sliced_sketch_gives_the_same_rows(spark, plain_dir, monkeypatch, name, held):
+    """With a sketch too large to broadcast: dealt over 16 slices, in small and large chunks."""
+    from corpusweave.llm import substrings, suffixes
+
+    want = sorted(map(tuple, Q.queries()[name](spark, plain_dir).collect()))
+    for key, value in (("MOST_BITS", 19), ("HOME_BITS", 16), ("HELD", held)):
+        monkeypatch.setattr(substrings, key, value)
+    monkeypatch.setattr(suffixes, "HELD", held)
+    assert sorted(map(tuple, Q.queries()[name](spark, plain_dir).collect())) == want
+
+
+def test_suspects_hold_every_repeated_value(spark, monkeypatch):
+    """A value in two texts, in one chunk or in several, comes back to both; few others do; a common one brings no row a text."""
+    from corpusweave.llm import substrings
+
+    rng = np.random.default_rng(3)
+    common, shared = "c " * 60, [" ".join(f"s{i}x{j}" for j in range(60)) for i in range(20)]
+    texts = [common + " ".join(f"u{i}x{j}" for j in range(60)) + " " + shared[int(rng.integers(20))] for i in range(100)]
+    rows = spark.createDataFrame([(i, 7, t) for i, t in enumerate(texts)], "doc long, row int, text string").repartition(4)
+    monkeypatch.setattr(substrings, "HOME_BITS", 16)
+    monkeypatch.setattr(substrings, "HELD", 300)
+    found = {r["doc"]: set(r["maybe"]) for r in substrings.suspects(rows, 20, substrings.text_marks()).collect()}
+    marks, seen = substrings.text_values(), collections.Counter()
+    own = {}
+    for i, t in enumerate(texts):
+        own[i] = set(marks(next(iter(substrings.blocks(substrings.pa.array([t]))))).view(np.int64).tolist())
+        seen.update(own[i])
+    for i, values in own.items():
+        repeated = {v for v in values if seen[v] > 1}
+        assert repeated <= found[i] <= values
+    assert sum(len(found[i]) for i in own) <= 1.02 * sum(seen[v] for v in seen if seen[v] > 1)
