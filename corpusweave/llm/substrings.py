@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusweave.llm.frames import fresh
-from corpusweave.llm.textblocks import BLOCK_BYTES, Block, blocks, lean, mix, rolling, whole_windows
+from corpusweave.llm.textblocks import BLOCK_BYTES, Block, blocks, from_planes, lean, mix, planes, rolling, whole_windows
 
 WINDOW = 50
 GRAM = 25
@@ -116,7 +116,7 @@ def sketch(docs: DataFrame, bits: int, values_of, text: str = "text", block_byte
                 edges = np.searchsorted(cell, np.arange(SLICES + 1) << low)
                 own = (cell & ((1 << low) - 1)).astype(np.uint32)
                 parts = [(own[a:b], n[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([row * SLICES + s for s in range(SLICES)], pa.int32()), pa.array([c[k == 1].tobytes() for c, k in parts], pa.binary()), pa.array([c[k > 1].tobytes() for c, k in parts], pa.binary())], ["slice", "once", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array([row * SLICES + s for s in range(SLICES)], pa.int32()), pa.array([planes(c[k == 1]) for c, k in parts], pa.binary()), pa.array([planes(c[k > 1]) for c, k in parts], pa.binary())], ["slice", "once", "more"])
 
         for batch in batches:
             for block in blocks(batch.column(at), block_bytes):
@@ -138,9 +138,9 @@ def sketch(docs: DataFrame, bits: int, values_of, text: str = "text", block_byte
                     if now is not None:
                         yield packed()
                     now, counts = s, np.zeros(1 << low, np.uint8)
-                one = np.frombuffer(once, np.uint32)
+                one = from_planes(once, np.uint32)
                 counts[one] = np.minimum(counts[one] + 1, 2)
-                counts[np.frombuffer(more, np.uint32)] = 2
+                counts[from_planes(more, np.uint32)] = 2
         if now is not None:
             yield packed()
 

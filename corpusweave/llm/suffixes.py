@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from corpusweave.llm.frames import fresh
 from corpusweave.llm.substrings import LAST, MOST_PARTITIONS, prefiltered, sliding_min
-from corpusweave.llm.textblocks import _BYTES, Block, blocks, lean, mix, whole_windows
+from corpusweave.llm.textblocks import _BYTES, Block, blocks, from_planes, lean, mix, planes, whole_windows
 
 LENGTH = 100
 GRAM = 36
@@ -163,7 +163,7 @@ def sorted_run(keys: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarra
         gone = united(doc[others][fits], row[others][fits], start[fits], end[fits])
         part = int(mix(gone[0][:1].view(np.uint64) + np.uint64(len(gone[0])))[0] % np.uint64(parts))
         ends = np.concatenate(gone[2:]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (None, None, gone[0].tobytes(), gone[1].tobytes(), ends.tobytes()))], RUN_COLUMNS)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (None, None, *map(planes, (*gone[:2], ends))))], RUN_COLUMNS)
     keys, doc, row, at = keys[earliest], doc[earliest], row[earliest], at[earliest]
     head = keys[:, :4].copy().view(">u4").ravel().astype(np.uint64)
     part = (head * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -173,7 +173,7 @@ def sorted_run(keys: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarra
     out = []
     for a, b in itertools.pairwise([*edges.tolist(), len(part)]):
         rest = keys[a:b][np.arange(KEY) >= shared[a:b, None]]
-        out.append((int(part[a]), shared[a:b].astype(np.uint8).tobytes(), rest.tobytes(), doc[a:b].tobytes(), row[a:b].tobytes(), at[a:b].astype(np.int32).tobytes()))
+        out.append((int(part[a]), shared[a:b].astype(np.uint8).tobytes(), rest.tobytes(), planes(doc[a:b]), planes(row[a:b]), planes(at[a:b].astype(np.int32))))
     for a in range(0, len(out), 64):
         columns = zip(*out[a : a + 64], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.int32()), *(pa.array(list(c), pa.binary()) for c in columns)], RUN_COLUMNS)
@@ -269,8 +269,8 @@ def settle(keys: np.ndarray, shared: np.ndarray, rank: np.ndarray) -> tuple[np.n
 
 def merge_part(blobs: list[tuple]) -> pa.RecordBatch | None:
     """Merges one part's runs and gives the stretches to remove."""
-    doc, row = (np.concatenate([np.frombuffer(b[k], np.int64) for b in blobs]) for k in (2, 3))
-    at = np.concatenate([np.frombuffer(b[4], np.int32) for b in blobs]).astype(np.int64)
+    doc, row = (np.concatenate([from_planes(b[k], np.int64) for b in blobs]) for k in (2, 3))
+    at = np.concatenate([from_planes(b[4], np.int32) for b in blobs]).astype(np.int64)
     first = np.concatenate(([0], np.cumsum([len(b[0]) for b in blobs]))).tolist()
     runs = [FrontCoded(b[0], b[1]) for b in blobs]
     seen, index, shared, keys = [0] * len(runs), array("i"), bytearray(), bytearray()
@@ -340,7 +340,7 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                     blobs = []
                 now = values[0]
                 if values[1] is None:
-                    yield by_document(*(np.frombuffer(v, t) for v, t in zip(values[3:], (np.int64, np.int64, np.int32), strict=True)))
+                    yield by_document(*(from_planes(v, t) for v, t in zip(values[3:], (np.int64, np.int64, np.int32), strict=True)))
                 else:
                     blobs.append(values[1:])
         if blobs and (out := merge_part(blobs)) is not None:

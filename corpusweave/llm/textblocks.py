@@ -115,6 +115,17 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, then all their second and so on: equal high bytes stand together, for shuffles to compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    """The numbers that ``planes`` took apart."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
+
+
 def whole_windows(bounds: np.ndarray, width: int, n: int) -> np.ndarray:
     """True at the positions from which ``width`` values lie in one text; n - width + 1 of them."""
     if n < width:
