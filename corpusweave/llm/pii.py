@@ -4,12 +4,14 @@ One regular expression a kind proposes leftmost non-overlapping spans. A match i
 text with control characters (which the text's own are first replaced by a third of the same
 length, so places stay right), the text is split at the marks, and places are running sums of the
 pieces' lengths in code points. Validators confirm: number parts up to 255 (ip), digit counts and
-Luhn (card), digit counts (phone), mod-97 (iban), the ranges that are issued (ssn). A confirmed
+Luhn (card), digit counts (phone), mod-97 (iban), the ranges that are issued (ssn), letters and
+digits mixed (key, token). A confirmed
 span has its kind's score, raised when one of the kind's context words stands in the ``NEAR`` code
 points before it and lowered when a contrary word does, kept in 0 to 1.
 
-The four base kinds are reported whatever their score; kinds the method adds (iban, ssn) only from
-``LEAST`` on. The expressions are written without nested backtracking, so long runs of digits or
+The four base kinds are reported whatever their score; kinds the method adds (iban, ssn, and the
+secrets: key, in a form that issuers of access keys publish, and token, any long mixed run after a
+word that announces one) only from ``LEAST`` on. The expressions are written without nested backtracking, so long runs of digits or
 letters stay linear and don't use the stack. A row depends on itself alone: there is no shuffle
 and no Python on the executors. Null and empty texts have no spans, repeated rows agree, other
 columns are kept, and an empty table gives an empty result.
@@ -85,6 +87,16 @@ def iban(m: Column) -> Column:
     return let(F.replace(m, F.lit(" "), F.lit("")), lambda c: F.when(F.length(c).between(15, 34), mod97(c)).otherwise(F.lit(False)))
 
 
+def mixed(m: Column) -> Column:
+    """Whether a secret is a private key's first line or holds both letters and digits."""
+    return m.startswith("-----") | (m.rlike("[A-Za-z]") & m.rlike("[0-9]"))
+
+
+def random_looking(m: Column) -> Column:
+    """Whether a run holds upper case, lower case and digits, or is at least 32 hexadecimal digits of both sorts."""
+    return (m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")) | ((F.length(m) >= 32) & m.rlike("^[0-9a-f]+$") & m.rlike("[a-f]") & m.rlike("[0-9]"))
+
+
 @dataclass(frozen=True)
 class Kind:
     """``guard``: a string that every match holds, or None; ``base``: reported whatever its score."""
@@ -106,6 +118,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", between(9, 15), 0.6, r"phone|\btel\b|call|mobile|fax", r"equals|plus", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, iban, 0.8, r"iban|account|bank|konto|compte|cuenta", r"serial|part no", False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", None, 0.35, r"\bssn\b|social|security|tax", r"order|part", False),
+    Kind("key", r"(?<![A-Za-z0-9_-])(?:A(?:KIA|SIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[opsu]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}+|[rs]k_live_[0-9A-Za-z]{16,}+|eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![0-9A-Za-z])", None, mixed, 0.75, r"key|token|secret|bearer", r"example|sample|dummy|placeholder", False),
+    Kind("token", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", None, random_looking, 0.35, r"key|token|secret|passw|bearer|credential", r"example|sample|dummy|placeholder|sha|md5|checksum|commit", False),
 )
 
 

@@ -356,6 +356,30 @@ def test_pii(spark, tmp_path):
     assert got[7]["spans"] == "iban:0:27,ssn:33:44"
 
 
+def test_pii_secrets(spark):
+    from corpusweave.llm.pii import detect
+
+    value = "aB3" * 8
+    cases = {
+        "id AKIA" + "Z9" * 8 + " end": ["key:3:23"],
+        "example: AKIA" + "Z9" * 8: [],
+        "AKIA" + "ZZ" * 8: [],
+        "AKIA" + "Z9" * 9: [],
+        "-----BEGIN RSA PRIVATE KEY-----": ["key:0:31"],
+        f"secret = {value}": ["token:9:33"],
+        f"a name, {value}": [],
+        f"sha of the key {value}": [],
+        "token " + "0af1" * 8: ["token:6:38"],
+        "token " + "a" * 40: [],
+        "password " + "x" * 30_000: [],
+        "key " + "a1B" * 10_000: ["token:4:30004"],
+        f"\U0001d11e é bearer {value}==.": ["token:11:37"],
+    }
+    rows = spark.createDataFrame([(t,) for t in [*cases, None, ""]], "text string")
+    found = {r["text"]: [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["pii"]] for r in detect(rows).collect()}
+    assert found == cases | {None: [], "": []}
+
+
 def test_pii_redacts(spark):
     from corpusweave.llm.pii import redact
 
