@@ -19,6 +19,7 @@ columns are kept, and an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -99,11 +100,11 @@ def random_looking(m: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """``guard``: a string that every match holds, or None; ``base``: reported whatever its score."""
+    """``guard``: strings of which a text with a span holds one (in any case where the score needs a context word), or none; ``base``: reported whatever its score."""
 
     name: str
     pattern: str
-    guard: str | None
+    guard: tuple[str, ...]
     valid: Callable[[Column], Column] | None
     score: float
     context: str
@@ -112,19 +113,19 @@ class Kind:
 
 
 KINDS = (
-    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", None, 0.8, r"mail|contact|write|address", r"git@|noreply", True),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", ".", small_parts, 0.6, r"\bip\b|host|server|address", r"version|\bv\b|section|release", True),
-    Kind("card", r"[0-9](?:[ -]?[0-9])++", None, card, 0.6, r"card|visa|credit|debit|payment", r"order|isbn|serial|tracking", True),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", between(9, 15), 0.6, r"phone|\btel\b|call|mobile|fax", r"equals|plus", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None, iban, 0.8, r"iban|account|bank|konto|compte|cuenta", r"serial|part no", False),
-    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", None, 0.35, r"\bssn\b|social|security|tax", r"order|part", False),
-    Kind("key", r"(?<![A-Za-z0-9_-])(?:A(?:KIA|SIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[opsu]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}+|[rs]k_live_[0-9A-Za-z]{16,}+|eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![0-9A-Za-z])", None, mixed, 0.75, r"key|token|secret|bearer", r"example|sample|dummy|placeholder", False),
-    Kind("token", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", None, random_looking, 0.35, r"key|token|secret|passw|bearer|credential", r"example|sample|dummy|placeholder|sha|md5|checksum|commit", False),
+    Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",), None, 0.8, r"mail|contact|write|address", r"git@|noreply", True),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", (".",), small_parts, 0.6, r"\bip\b|host|server|address", r"version|\bv\b|section|release", True),
+    Kind("card", r"[0-9](?:[ -]?[0-9])++", (), card, 0.6, r"card|visa|credit|debit|payment", r"order|isbn|serial|tracking", True),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", ("+",), between(9, 15), 0.6, r"phone|\btel\b|call|mobile|fax", r"equals|plus", True),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", (), iban, 0.8, r"iban|account|bank|konto|compte|cuenta", r"serial|part no", False),
+    Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", ("-",), None, 0.35, r"\bssn\b|social|security|tax", r"order|part", False),
+    Kind("key", r"(?<![A-Za-z0-9_-])(?:A(?:KIA|SIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[opsu]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}+|[rs]k_live_[0-9A-Za-z]{16,}+|eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![0-9A-Za-z])", ("AKIA", "ASIA", "AIza", "gho_", "ghp_", "ghs_", "ghu_", "xox", "k_live_", "eyJ", "-----BEGIN"), mixed, 0.75, r"key|token|secret|bearer", r"example|sample|dummy|placeholder", False),
+    Kind("token", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", ("key", "token", "secret", "passw", "bearer", "credential"), random_looking, 0.35, r"key|token|secret|passw|bearer|credential", r"example|sample|dummy|placeholder|sha|md5|checksum|commit", False),
 )
 
 
-def found(text: Column, order: int, kind: Kind) -> Column:
-    """Confirmed spans of one kind: start, place of the kind, kind, end, score."""
+def found(text: Column, lower: Column, order: int, kind: Kind) -> Column:
+    """Confirmed spans of one kind: start, place of the kind, kind, end, score; ``lower`` is the text in lower case."""
     marked = F.regexp_replace(text, kind.pattern, f"{OPEN}$0{CLOSE}")
     none = F.array().cast("array<struct<start:int,place:int,kind:string,end:int,score:double>>")
 
@@ -148,14 +149,16 @@ def found(text: Column, order: int, kind: Kind) -> Column:
 
     split = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
     out = let(split, lambda p: F.when(F.size(p) > 1, let(F.transform(p, lambda x: F.char_length(x)), lambda n: spans(p, n)).cast("array<struct<start:int,place:int,kind:string,end:int,score:double>>")).otherwise(none))
-    return F.when(F.contains(text, F.lit(kind.guard)), out).otherwise(none) if kind.guard else out
+    where = text if kind.base or kind.score >= LEAST else lower
+    guarded = [F.contains(where, F.lit(g)) for g in kind.guard]
+    return F.when(functools.reduce(Column.__or__, guarded), out).otherwise(none) if guarded else out
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``pii``: all confirmed spans by start and kind, places in code points."""
     name = fresh(docs, "pii")
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), OPEN + CLOSE, SPARE + SPARE)
-    spans = let(clean, lambda t: F.array_sort(F.concat(*(found(t, k, kind) for k, kind in enumerate(KINDS)))))
+    spans = let(F.struct(clean.alias("text"), F.lower(clean).alias("lower")), lambda t: F.array_sort(F.concat(*(found(t["text"], t["lower"], k, kind) for k, kind in enumerate(KINDS)))))
     return docs.withColumn(name, spans)
 
 
