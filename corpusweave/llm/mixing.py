@@ -16,26 +16,34 @@ its rows are put in a seeded random order locally.
 Everything follows from the seed and the data, so reruns agree and a lost task is run again. A hot
 source has as many blocks as any other, and they go to different tasks. Documents without words
 belong to their block and take nothing; rows equal in ``doc_id`` and text share their draws; a null
-source is a source; columns may clash in case; an empty table gives an empty result. More than
-``MOST_SOURCES`` sources are refused: the tree's quotas are one number a source and shard.
+source is a source; columns may clash in case; an empty table gives an empty result.
+
+Beyond ``MOST_SOURCES`` sources nothing of a source comes to the driver: targets, draws and cells
+are tables, with ``LEAST_CELLS`` cells a source, sources are dealt to buckets of about
+``BUCKET_SOURCES``, the tree deals the buckets' quotas, and each bucket's task deals every shard's
+quota among its own sources by the same law.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusweave.llm.frames import WORD, apart, cut, fresh
 from corpusweave.llm.sharding import partitions_for, text_bytes
+from corpusweave.llm.textblocks import lean
 
 WEIGHTS = (5, 2, 1)
-CELLS = 1024
+CELLS, LEAST_CELLS = 1024, 16
 MOST_CELLS = 1_000_000
 MOST_SOURCES = 62_500
+BUCKET_SOURCES = 10_000
 BROADCAST_ROWS = 200_000
 BUDGET = 1.5
 
@@ -77,6 +85,31 @@ class MixPlan:
     n_cells: int
     seed: int
 
+    def source_table(self, spark: SparkSession) -> DataFrame:
+        """mix_source, source_size and target of every source."""
+        return F.broadcast(spark.createDataFrame(self.sources, "mix_source string, source_size long, target double"))
+
+    def cell_table(self, spark: SparkSession) -> DataFrame:
+        """mix_source, mix_cell and draws of every cell."""
+        table = spark.createDataFrame(self.cells)
+        return F.broadcast(table) if len(self.cells) <= BROADCAST_ROWS else table
+
+
+@dataclass
+class WidePlan:
+    """A ``MixPlan`` whose sources and cells are tables; they meet rows by sort and merge, where adaptive execution splits hot sources."""
+
+    sources: DataFrame
+    cells: DataFrame
+    n_cells: int
+    seed: int
+
+    def source_table(self, spark: SparkSession) -> DataFrame:
+        return self.sources.select("mix_source", "source_size", "target")
+
+    def cell_table(self, spark: SparkSession) -> DataFrame:
+        return self.cells
+
 
 def sized(docs: DataFrame) -> DataFrame:
     """What a plan needs of ``docs``: ``doc_id``, ``source``, ``size`` in words, ``bytes`` and the text's hash."""
@@ -106,12 +139,12 @@ def draws_of(words: np.ndarray, aim: float, most: float, rng_key: list[int]) ->
     return cells, copies
 
 
-def make_plan(sizes: DataFrame, n_shards: int = 16, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = 2.0, seed: int = 42) -> MixPlan:
+def make_plan(sizes: DataFrame, n_shards: int = 16, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = 2.0, seed: int = 42) -> MixPlan | WidePlan:
     """The mix of ``sizes`` (see ``sized``)."""
     n_sources = sizes.select("source").distinct().limit(MOST_SOURCES + 1).count()
     if n_sources > MOST_SOURCES:
-        raise ValueError(f"over {MOST_SOURCES} sources")
-    n_cells = max(16, min(CELLS, MOST_CELLS // max(1, n_sources)))
+        return wide_plan(sizes, n_shards, weights, budget, most, seed)
+    n_cells = max(LEAST_CELLS, min(CELLS, MOST_CELLS // max(1, n_sources)))
     found = sizes.groupBy("source", cell_of(n_cells, seed).alias("cell")).agg(F.sum("size").alias("words")).toArrow()
     names = found["source"].unique().to_pylist()
     order = sorted(names, key=lambda s: (s is None, s or ""))
@@ -138,10 +171,78 @@ def make_plan(sizes: DataFrame, n_shards: int = 16, weights: tuple = WEIGHTS, bu
     return MixPlan(list(zip(order, totals, aims, strict=True)), cells, n_cells, seed)
 
 
-def with_draws(df: DataFrame, plan: MixPlan, text_hash="text_hash") -> DataFrame:
+def wide_targets(sizes: DataFrame, weights: tuple, budget: float, most: float, seed: int) -> DataFrame:
+    """Per source: its place in the order, words, target, and its ``cells`` (cell, words) in order."""
+    cells = sizes.groupBy("source", cell_of(LEAST_CELLS, seed).alias("cell")).agg(F.sum("size").alias("words"))
+    each = cells.groupBy("source").agg(F.sum("words").alias("source_size"), F.sort_array(F.collect_list(F.struct("cell", "words"))).alias("cells"))
+    order = [F.col("source").isNull(), F.col("source")]
+    width = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(each.repartitionByRange(width, *order).withColumn("range", F.spark_partition_id()))
+    before, counts = 0, sorted(map(tuple, dealt.groupBy("range").count().collect()))
+    offsets = []
+    for part, n in counts:
+        offsets.append((part, before))
+        before += n
+    offsets = F.broadcast(sizes.sparkSession.createDataFrame(offsets, "range int, before long"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    ranked = dealt.join(offsets, "range").withColumn("place", place)
+    ranked = cut(ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))).drop("range", "before"))
+    total, share, capped = budget * (ranked.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:
+        over = F.lit(share) * F.col("weight") > most * F.col("source_size")
+        n, full, weight = ranked.agg(F.count_if(over), F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == capped or not weight:
+            break
+        capped, share = n, (total - most * (full or 0)) / weight
+    return ranked.withColumn("target", F.when(over, most * F.col("source_size")).otherwise(F.lit(share) * F.col("weight")))
+
+
+def wide_plan(sizes: DataFrame, n_shards: int, weights: tuple, budget: float, most: float, seed: int) -> WidePlan:
+    """The mix of any number of sources, in tables."""
+    spark = sizes.sparkSession
+    sources = cut(wide_targets(sizes, weights, budget, most, seed).withColumnRenamed("source", "mix_source"))
+    n_buckets = min(MOST_SOURCES, math.ceil(sources.count() / BUCKET_SOURCES))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, aims, cells = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            drawn = [draws_of(np.array([c["words"] for c in some], np.int64), aim, most, [seed, place]) for place, aim, some in zip(places, aims, cells, strict=True)]
+            listed = lambda k: pa.array([d[k] for d in drawn], pa.list_(pa.int32()))
+            numbers = pa.array([[c["cell"] for c in some] for some in cells], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p % n_buckets for p in places], pa.int32()), numbers, listed(0), listed(1)], ["mix_source", "place", "bucket", "cells", "at", "copies"])
+
+    drawn = cut(sources.select("mix_source", "place", "target", "cells").mapInArrow(lean(draw), "mix_source string, place long, bucket int, cells array<int>, at array<int>, copies array<int>"))
+    quotas = sorted(map(tuple, drawn.groupBy("bucket").agg(F.sum(F.size("at"))).collect()))
+    shares = split_quotas(np.array([n for _, n in quotas], np.int64), n_shards, np.random.default_rng([seed, 1]))
+    by_bucket = spark.createDataFrame([(b, shares[:, i].tolist()) for i, (b, _) in enumerate(quotas)], "bucket int, shares array<long>")
+
+    def deal(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        at, copies, cells = (table[c].to_pylist() for c in ("at", "copies", "cells"))
+        left = np.array(list(map(len, at)), np.int64)
+        rng = np.random.default_rng([seed, 1, table["bucket"][0].as_py()])
+        taken = np.zeros((n_shards, len(left)), np.int64)
+        for shard, quota in enumerate(table["shares"][0].as_py()):
+            taken[shard] = rng.multivariate_hypergeometric(left, quota, method="marginals")
+            left -= taken[shard]
+        names, numbers, draws = [], [], []
+        for i, source in enumerate(table["mix_source"].to_pylist()):
+            own: list[list[dict]] = [[] for _ in cells[i]]
+            for c, copy, shard in zip(at[i], copies[i], np.repeat(np.arange(n_shards), taken[:, i]).tolist(), strict=True):
+                own[c].append({"copy": copy, "shard": shard})
+            names += [source] * len(own)
+            numbers += cells[i]
+            draws += own
+        kind = pa.list_(pa.struct([("copy", pa.int32()), ("shard", pa.int32())]))
+        return pa.table({"mix_source": pa.array(names, pa.string()), "mix_cell": pa.array(numbers, pa.int32()), "draws": pa.array(draws, kind)})
+
+    dealt = drawn.join(F.broadcast(by_bucket), "bucket").groupBy("bucket").applyInArrow(deal, "mix_source string, mix_cell int, draws array<struct<copy:int,shard:int>>")
+    return WidePlan(sources, cut(dealt), LEAST_CELLS, seed)
+
+
+def with_draws(df: DataFrame, plan: MixPlan | WidePlan, text_hash="text_hash") -> DataFrame:
     """``df`` with ``draws``: for each copy of the row that the mix takes, its number and shard."""
-    table = df.sparkSession.createDataFrame(plan.cells).withColumnRenamed("draws", fresh(df, "draws"))
-    table = F.broadcast(table) if len(plan.cells) <= BROADCAST_ROWS else table
+    table = plan.cell_table(df.sparkSession).withColumnRenamed("draws", fresh(df, "draws"))
     on = F.col("source").eqNullSafe(F.col("mix_source")) & (cell_of(plan.n_cells, plan.seed, text_hash) == F.col("mix_cell"))
     return df.join(table, on, "left").drop("mix_source", "mix_cell")
 

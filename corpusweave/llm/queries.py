@@ -17,8 +17,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     sizes = cut(mixing.sized(docs))
     plan = mixing.make_plan(sizes)
-    by_source = spark.createDataFrame(plan.sources, "mix_source string, source_size long, target double")
-    drawn = mixing.with_draws(sizes, plan).join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("mix_source")))
+    drawn = mixing.with_draws(sizes, plan).join(plan.source_table(spark), F.col("source").eqNullSafe(F.col("mix_source")))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce(F.size("draws"), F.lit(0))).cast("long").alias("taken"), F.col("draws.shard").alias("shards"))
 
 

@@ -46,7 +46,12 @@ def test_sql(spark, plain_dir, name):
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
-def test_mixing(spark, plain_dir):
+@pytest.mark.parametrize("most_sources", [62_500, 2])
+def test_mixing(spark, plain_dir, most_sources, monkeypatch):
+    from corpusweave.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_SOURCES", most_sources)
+    monkeypatch.setattr(mixing, "BUCKET_SOURCES", 2)
     first, again = (by_id(spark, "op1_mixing", plain_dir) for _ in range(2))
     assert {k: r["taken"] for k, r in first.items()} == {k: r["taken"] for k, r in again.items()}
     sums, largest = collections.Counter(), collections.Counter()
@@ -87,6 +92,33 @@ def test_mixed_rows_are_the_planned_draws(spark, plain_dir):
     assert len({(r[0], r[5]) for r in rows}) == len(rows) and {r[6] for r in rows} == {0, 1, 2}
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Tables of sources give the targets that the driver's plan gives, whole turns, and even shards."""
+    from corpusweave.llm import mixing
+
+    rows = [(i, f"s{i % 307}" if i % 307 else None, " ".join(["w"] * (i * i % (41 if i % 3 else 11)))) for i in range(3000)]
+    sizes = mixing.sized(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    near = mixing.make_plan(sizes, n_shards=3)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 100)
+    monkeypatch.setattr(mixing, "BUCKET_SOURCES", 40)
+    far, again = (mixing.make_plan(sizes, n_shards=3) for _ in range(2))
+    got = {r[0]: r[1:] for r in far.source_table(spark).collect()}
+    assert sorted(got, key=str) == sorted((s for s, *_ in near.sources), key=str)
+    assert all(got[s][0] == n and got[s][1] == pytest.approx(aim) for s, n, aim in near.sources)
+    cells = {(r[0], r[1]): sorted((d["copy"], d["shard"]) for d in r[2]) for r in far.cells.collect()}
+    assert cells == {(r[0], r[1]): sorted((d["copy"], d["shard"]) for d in r[2]) for r in again.cells.collect()}
+    taken, shards, largest = collections.Counter(), collections.Counter(), collections.Counter()
+    words = {(r["source"], r["cell"]): r["n"] for r in sizes.groupBy("source", mixing.cell_of(far.n_cells, far.seed).alias("cell")).agg(F.sum("size").alias("n")).collect()}
+    assert words.keys() == cells.keys()
+    for key, draws in cells.items():
+        assert [c for c, _ in draws] == list(range(len(draws))) and len(draws) <= 2
+        taken[key[0]] += len(draws) * words[key]
+        largest[key[0]] = max(largest[key[0]], words[key])
+        shards.update(s for _, s in draws)
+    assert all(0 <= got[s][1] - taken[s] + 1e-6 and got[s][1] - taken[s] < max(largest[s], 1) for s in got)
+    assert max(shards.values()) - min(shards.values()) <= 2
+
+
 def test_mixing_targets():
     from corpusweave.llm.mixing import split_quotas, targets
 
