@@ -20,12 +20,18 @@ two blocks meet). Components come from the links by star rounds with checkpoints
 or links go to the driver, but for the hot keys of a join, fewer than a thousand.
 
 ``near_duplicates(similarity=...)`` links texts whose sets of shingle hashes have that Jaccard
-similarity. Distinct sets are the nodes. Buckets come from seeds: the two least of the shingle
-hashes under each of ``BANDS`` seeded orders, which texts of Jaccard similarity 0.8 share in one
-order at least with probability above 0.999. Each bucket's members are first compared with its
-least one. Buckets that then lie in one component are done; in the others the members outside the
-least one's component are compared with all. A bucket of over ``CROWD_SHINGLES`` is dealt to blocks
-of half of that and these meet pairwise. Within a block, pairs go through the pivot tables and the
+similarity. Distinct sets are the nodes. Their fingerprints are ``WORDS`` times as wide: the SimHash
+of the set's hashes, then of these hashes hashed anew. Each seeded choice of bits is a table and its
+values are buckets, with as many tables as lose at most ``LOST`` of the pairs at the similarity by
+SimHash's law (the angle of two sets; small sets differ in more bits and get more tables). Rows carry
+their pivot table as above, a bucket's members are compared within a window of the first distance,
+by the other distances and by all bits; links are within five standard deviations of the expected
+distance, and each bucket ties what its links connect to the least hash there, so that tables name
+few pairs of a large group. What all tables connect is a group of candidates; sets too small to have
+a neighbour at the similarity are in none. A group's members are first compared with its least one.
+Groups that then lie in one component are done; in the others the members outside the least one's
+component are compared with all. A group of over ``CROWD_SHINGLES`` is dealt to blocks of half of
+that and these meet pairwise. Within a block, pairs go through the pivot tables and the
 fingerprints (of the sets) at ``RADIUS`` bits, which pairs of similarity 0.8 exceed with
 probability below 0.0001; what is left is verified on both whole sets, and only that decides.
 
@@ -57,7 +63,12 @@ CROWD = 2000
 CROWD_SHINGLES = 1_000_000
 RADIUS = 26
 SEED = 42
-BANDS = 8
+WORDS = 4
+TABLE_PIVOTS = 4
+TABLE_BITS = 10
+LOST = 0.0003
+PARITY = 1.065
+SMALL, SMALL_PARITY = 6, 1.24
 BROADCAST_TEXTS = 500_000
 _SLICE = 1 << 15
 
@@ -85,12 +96,10 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return vote(shingle_hashes(text, width))
 
 
-def seeds(hashes: np.ndarray, bands: int = BANDS) -> list[int]:
-    """For each band, a hash of the least shingle hashes under two orders."""
-    if not len(hashes):
-        return [0] * bands
-    least = [mix(hashes + np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))).min() for k in range(2 * bands)]
-    return mix(np.array(least[::2]) * np.uint64(31) + np.array(least[1::2])).view(np.int64).tolist()
+def wide_print(hashes: np.ndarray) -> list[int]:
+    """The SimHash of shingle hashes and of these hashed anew, ``WORDS`` signed longs."""
+    anew = lambda k: mix(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) if k else hashes
+    return [_signed(vote(anew(k))) for k in range(WORDS)]
 
 
 def set_hash(shingles: np.ndarray) -> int:
@@ -112,13 +121,10 @@ def with_fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE)
     return out.mapInArrow(lean(run), out.drop(text).schema)
 
 
-SKETCH = "f long, p long, size int, seeds array<long>"
-
-
-def sketched(docs: DataFrame, width: int, text: str = "text", bands: int = BANDS) -> DataFrame:
-    """``docs`` without ``text`` and with its shingle set's hash ``f``, fingerprint ``p``, ``size`` and ``seeds``."""
+def sketched(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
+    """``docs`` without ``text`` and with its shingle set's hash ``f``, ``size`` and fingerprint ``bits``."""
     rest = [c for c in docs.columns if c != text]
-    out = docs.select(*rest, F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("p"), F.lit(0).alias("size"), F.array().cast("array<long>").alias("seeds"))
+    out = docs.select(*rest, F.lit(0).cast("long").alias("f"), F.lit(0).alias("size"), F.array().cast("array<long>").alias("bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +132,9 @@ def sketched(docs: DataFrame, width: int, text: str = "text", bands: int = BANDS
             for block in blocks(batch.column(batch.num_columns - 1)):
                 for i in range(block.last - block.first):
                     shingles = np.unique(shingle_hashes(block.text(i), width))
-                    made.append((set_hash(shingles), _signed(vote(shingles)), len(shingles), seeds(shingles, bands)))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([x[k] for x in made], t) for k, t in enumerate(kinds))], [*rest, "f", "p", "size", "seeds"])
+                    made.append((set_hash(shingles), len(shingles), wide_print(shingles)))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([x[k] for x in made], t) for k, t in enumerate(kinds))], [*rest, "f", "size", "bits"])
 
     return docs.select(*rest, text).mapInArrow(lean(run), out.schema)
 
@@ -211,6 +217,140 @@ def links(distinct: DataFrame, n: int, most: int = MOST_BITS, crowd: int = CROWD
     return plain
 
 
+def bits_for(n: int) -> int:
+    """Bits of a table of ``n`` sets: buckets of up to some thousand, as comparing costs less than more tables."""
+    return max(TABLE_BITS, math.ceil(math.log2(max(2, n))) - 12)
+
+
+def differing(similarity: float) -> float:
+    """The share of SimHash bits in which sets of that Jaccard similarity and like sizes differ, by the angle between them."""
+    return max(1e-6, math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def tables_for(bits: int, share: float) -> int:
+    """Tables such that a pair that differs in a ``share`` of the bits has no bucket in common with probability ``LOST`` at most."""
+    n = 64 * WORDS
+    apart = np.arange(n + 1)
+    ways = np.array([math.lgamma(n + 1) - math.lgamma(d + 1) - math.lgamma(n - d + 1) for d in range(n + 1)])
+    chance = np.exp(ways + apart * math.log(share) + (n - apart) * math.log1p(-share))
+    meet = np.prod([np.maximum(0, n - apart - i) / (n - i) for i in range(bits)], axis=0)
+    tables = 8
+    while (chance * (1 - meet) ** tables).sum() > LOST:
+        tables += 8
+    return tables
+
+
+def radius_for(similarity: float) -> int:
+    """Bits in which wide fingerprints of that similarity differ at most, by five standard deviations."""
+    n, share = 64 * WORDS, PARITY * differing(similarity)
+    return int(n * share + 5 * math.sqrt(n * share * (1 - share)))
+
+
+def table_groups(key: np.ndarray, prints: np.ndarray, references: np.ndarray, most: int) -> np.ndarray:
+    """For each wide fingerprint (row) the position of one that stands for all that links connect with it in its bucket (equal ``key``).
+
+    Sorted by bucket and first pivot distance, all rows meet the next one, the second next and so on, while these are in the window.
+    """
+    n = len(key)
+    table = np.bitwise_count(prints[:, None, :] ^ references[None]).sum(2, dtype=np.int16)
+    order = np.lexsort((table[:, 0], key))
+    key, first = key[order], table[order, 0]
+    others = [np.ascontiguousarray(table[order, k]) for k in range(1, table.shape[1])]
+    words = [np.ascontiguousarray(prints[order, k]) for k in range(prints.shape[1])]
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    bucket = np.repeat(np.arange(len(edges)), np.diff([*edges, n]))
+    root, rows, step = np.arange(n), np.arange(n), 0
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    while len(rows):
+        step += 1
+        rows = rows[: np.searchsorted(rows, n - step)]
+        rows = rows[(key[rows + step] == key[rows]) & (first[rows + step] - first[rows] <= most)]
+        i = rows[root[rows] != root[rows + step]]
+        for near in others:
+            i = i[np.abs(near[i] - near[i + step]) <= most]
+        bits = np.zeros(len(i), np.int16)
+        for word in words:
+            bits += np.bitwise_count(word[i] ^ word[i + step])
+        for a in i[bits <= most].tolist():
+            root[top(a + step)] = top(a)
+        if (bits <= most).any():
+            while (root != root[root]).any():
+                root = root[root]
+        if step & (step - 1) == 0:
+            whole = np.minimum.reduceat(root, edges) == np.maximum.reduceat(root, edges)
+            rows = rows[~whole[bucket[rows]]]
+    out = np.empty(n, np.int64)
+    out[order] = order[root]
+    return out
+
+
+def fingerprint_links(distinct: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the candidates among ``n`` distinct sets (``f``, ``size``, ``bits``)."""
+    width = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits, most = bits_for(n), radius_for(similarity)
+    plain, small = (tables_for(bits, share * differing(similarity)) for share in (PARITY, SMALL_PARITY))
+    rng = np.random.default_rng(SEED)
+    chosen = [rng.choice(64 * WORDS, bits, replace=False) for _ in range(small)]
+    references = rng.integers(0, 1 << 64, (TABLE_PIVOTS, WORDS), np.uint64)
+    powers = 1 << np.arange(bits)
+    names = [f"w{k}" for k in range(WORDS)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            prints = np.stack([batch.column(2 + k).to_numpy() for k in range(WORDS)], 1)
+            spread = np.unpackbits(prints.view(np.uint8).reshape(len(f), -1), axis=1, bitorder="little")
+            for table, at in enumerate(chosen):
+                if table == plain:
+                    mine = size < SMALL
+                    f, prints, spread = f[mine], prints[mine], spread[mine]
+                if not len(f):
+                    break
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (table << bits | spread[:, at] @ powers, f, *prints.T)], ["key", "f", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            key, f, *words = (np.concatenate(x) for x in zip(*held, strict=True))
+            group = table_groups(key, np.stack(words, 1).view(np.uint64), references, most)
+            least = f.copy()
+            np.minimum.at(least, group, f)
+            more = f != least[group]
+            return pa.RecordBatch.from_arrays([pa.array(f[more]), pa.array(least[group][more])], ["a", "b"])
+
+        for batch in batches:
+            new = [x.to_numpy() for x in batch.columns]
+            if not len(new[0]):
+                continue
+            split = int(np.searchsorted(new[0], new[0][-1]))
+            if split or (held and held[-1][0][-1] != new[0][-1]):
+                held.append([x[:split] for x in new])
+                yield flush()
+                held.clear()
+            held.append([x[split:] for x in new])
+        if held:
+            yield flush()
+        held.clear()
+
+    able = distinct.filter(F.col("size") / (F.col("size") + 1) >= similarity).select("f", "size", *(F.col("bits")[k].alias(w) for k, w in enumerate(names)))
+    rows = able.mapInArrow(lean(deal), ", ".join(f"{c} long" for c in ("key", "f", *names)))
+    return rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, b long")
+
+
+def candidates(distinct: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``band``, ``value``, ``f``, ``p`` and ``size`` of the sets in a group of candidates, which ``band`` and ``value`` name."""
+    joined = components(fingerprint_links(distinct, n, similarity))
+    grouped = cut(joined.unionAll(joined.select(F.col("component").alias("node"), "component").distinct()).mapInArrow(lambda batches: batches, "node long, component long"))
+    met = distinct.join(grouped, F.col("f") == F.col("node"))
+    return cut(met.select(F.lit(0).alias("band"), F.col("component").alias("value"), "f", "p", "size"))
+
+
 def shingle_sets(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``f`` (the set's hash) and ``shingles`` (sorted) of every row of ``texts`` (text)."""
 
@@ -371,7 +511,7 @@ def bucketed_links(rows: DataFrame, most: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE, text: str = "text", similarity: float | None = None) -> DataFrame:
     """``doc_id``, ``fingerprint`` (long) and ``component_id`` of every row of ``docs``.
 
-    Links are at ``most`` bits, all of them; or, with ``similarity``, at that Jaccard similarity of shingle sets among texts that share a seed.
+    Links are at ``most`` bits, all of them; or, with ``similarity``, at that Jaccard similarity of shingle sets among candidates by their fingerprints.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     if similarity:
@@ -395,19 +535,18 @@ def _named(distinct: DataFrame, found: DataFrame) -> DataFrame:
 def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
     """``docs`` (doc_id, text) as (doc_id, text hash ``t``, node ``f``), and the nodes with their components by Jaccard similarity.
 
-    Shingles are made anew for the sets that share a bucket with another.
+    Shingles are made anew for the sets in a group of candidates.
     """
     docs = docs.withColumn("t", F.xxhash64("text"))
     prints = cut(sketched(docs, width))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), "t")).alias("least")
-    distinct = cut(prints.groupBy("f").agg(least, F.min("p").alias("p"), F.min("size").alias("size"), F.min("seeds").alias("seeds")))
-    rows = distinct.select("f", "p", "size", F.posexplode("seeds").alias("band", "value"))
-    met = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    needed = cut(distinct.join(rows.join(met, ["band", "value"]).select("f").distinct(), "f", "left_semi").select(F.col("least.id").alias("id"), F.col("least.t").alias("at")))
+    distinct = cut(prints.groupBy("f").agg(least, F.min("size").alias("size"), F.min("bits").alias("bits")).withColumn("p", F.col("bits")[0]))
+    rows = candidates(distinct, distinct.count(), similarity)
+    needed = cut(distinct.join(rows.select("f"), "f", "left_semi").select(F.col("least.id").alias("id"), F.col("least.t").alias("at")))
     needed = F.broadcast(needed) if needed.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else needed
     texts = docs.join(needed, (F.col("t") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     sets = cut(shingle_sets(texts, width).groupBy("f").agg(F.first("shingles").alias("shingles")))
-    return prints, _named(distinct.drop("seeds"), components(similar_links(rows, sets, similarity)))
+    return prints, _named(distinct.drop("bits"), components(similar_links(rows, sets, similarity)))
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:

@@ -350,6 +350,54 @@ def test_near_duplicates_are_exactly_those_of_the_shingle_sets(spark):
     assert [c for _, c in sorted((r["doc_id"], r["component_id"]) for r in found.collect())] == want
 
 
+def test_similar_texts_without_a_least_shingle_in_common_leave_one(spark):
+    """Pairs of similarity 45/55 of which least-hash seeds in eight orders find none; fingerprints find them."""
+    from corpusweave.llm import simhash
+    import random
+
+    rows = []
+    for seed in (22258, 37102, 38849, 44678):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(54)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:20], "x", *words[21:]]))]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6]
+
+
+def test_table_groups_are_those_of_the_links():
+    from corpusweave.llm.simhash import table_groups
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 64, (12, 4), np.uint64)
+    prints = np.concatenate([base[rng.integers(0, 12, 300)]] * 2)
+    prints[:, 1] ^= rng.integers(0, 1 << 30, 600, np.uint64)
+    key = rng.integers(0, 7, 600)
+    got = table_groups(key, prints, rng.integers(0, 1 << 64, (4, 4), np.uint64), 12).tolist()
+    bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    every = [(i, j) for i in range(600) for j in range(i) if key[i] == key[j] and bits[i, j] <= 12]
+    want = list(range(600))
+    while (new := [min([want[i], *(want[j] for j in np.flatnonzero((key == key[i]) & (bits[i] <= 12)))]) for i in range(600)]) != want:
+        want = new
+    assert every and len(set(want)) < 500
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+    assert len(table_groups(key[:0], prints[:0], prints[:4], 12)) == 0
+
+
+def test_fingerprint_tables_find_pairs_at_the_bound(spark):
+    """Pairs of similarity 0.8 of any size share a group of candidates; unlike sets are in none."""
+    from corpusweave.llm import simhash
+
+    rng, rows, pairs = np.random.default_rng(9), [], []
+    for both, one, two in [(4, 0, 1), (8, 1, 1), (12, 0, 3), (40, 5, 5), (200, 0, 50), (200, 25, 25)] * 50:
+        hashes = rng.integers(0, 1 << 64, both + one + two, np.uint64)
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + k, len(x), simhash.wide_print(x)) for k, x in enumerate((hashes[: both + one], np.concatenate([hashes[:both], hashes[both + one :]])))]
+    rows += [(len(rows) + k, 50, simhash.wide_print(rng.integers(0, 1 << 64, 50, np.uint64))) for k in range(200)]
+    distinct = spark.createDataFrame(rows, "f long, size int, bits array<long>").selectExpr("*", "bits[0] AS p")
+    got = {r["f"]: r["value"] for r in simhash.candidates(distinct, len(rows), 0.8).collect()}
+    assert sum(a in got and got[a] == got.get(b) for a, b in pairs) == len(pairs) and len(got) == 2 * len(pairs) == 2 * len(set(got.values()))
+
+
 def luhn(digits):
     total = 0
     for k, c in enumerate(reversed(digits)):
