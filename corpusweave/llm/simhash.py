@@ -26,14 +26,16 @@ values are buckets, with as many tables as lose at most ``LOST`` of the pairs at
 SimHash's law (the angle of two sets; small sets differ in more bits and get more tables). Rows carry
 their pivot table as above, a bucket's members are compared within a window of the first distance,
 by the other distances and by all bits; links are within five standard deviations of the expected
-distance, and each bucket ties what its links connect to the least hash there, so that tables name
-few pairs of a large group. What all tables connect is a group of candidates; sets too small to have
-a neighbour at the similarity are in none. A group's members are first compared with its least one.
-Groups that then lie in one component are done; in the others the members outside the least one's
-component are compared with all. A group of over ``CROWD_SHINGLES`` is dealt to blocks of half of
-that and these meet pairwise. Within a block, pairs go through the pivot tables and the
-fingerprints (of the sets) at ``RADIUS`` bits, which pairs of similarity 0.8 exceed with
-probability below 0.0001; what is left is verified on both whole sets, and only that decides.
+distance, and each bucket ties what its links connect to the least hash there. What the first
+``FIRST_TABLES`` connect is one node in the other tables, which only tie nodes: so a member of a large
+group is named a few times, not once for each table. What all tables connect is a group of candidates;
+sets too small to have a neighbour at the similarity are in none. A group's members are first
+compared with its least one. Groups that then lie in one component are done; in the others the
+members outside the least one's component are compared with all. A group of over ``CROWD_SHINGLES``
+is dealt to blocks of half of that and these meet pairwise. Within a block, pairs go through the
+pivot tables and the fingerprints (of the sets) at ``RADIUS`` bits, which pairs of similarity 0.8
+exceed with probability below 0.0001; what is left is verified on both whole sets, and only that
+decides.
 
 Null and empty texts have fingerprint zero and are linked like any other. Repeated rows and ties
 share fingerprint and component; an empty table gives an empty result; rows without ``doc_id``
@@ -66,6 +68,7 @@ SEED = 42
 WORDS = 4
 TABLE_PIVOTS = 4
 TABLE_BITS = 10
+FIRST_TABLES = 4
 LOST = 0.0003
 PARITY = 1.065
 SMALL, SMALL_PARITY = 6, 1.24
@@ -289,8 +292,8 @@ def table_groups(key: np.ndarray, prints: np.ndarray, references: np.ndarray, mo
     return out
 
 
-def fingerprint_links(distinct: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Links (a, b) that connect the candidates among ``n`` distinct sets (``f``, ``size``, ``bits``)."""
+def fingerprint_links(distinct: DataFrame, n: int, similarity: float, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Links (a, b) that connect the candidates among ``n`` distinct sets (``f``, ``size``, ``bits``), from the tables ``start`` to ``stop``; sets of one ``node`` are known to be connected and go by it."""
     width = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits, most = bits_for(n), radius_for(similarity)
     plain, small = (tables_for(bits, share * differing(similarity)) for share in (PARITY, SMALL_PARITY))
@@ -302,27 +305,28 @@ def fingerprint_links(distinct: DataFrame, n: int, similarity: float) -> DataFra
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             prints = np.stack([batch.column(2 + k).to_numpy() for k in range(WORDS)], 1)
-            spread = np.unpackbits(prints.view(np.uint8).reshape(len(f), -1), axis=1, bitorder="little")
-            for table, at in enumerate(chosen):
+            spread = np.unpackbits(prints.view(np.uint8).reshape(len(node), -1), axis=1, bitorder="little")
+            for table, at in list(enumerate(chosen))[start:stop]:
                 if table == plain:
                     mine = size < SMALL
-                    f, prints, spread = f[mine], prints[mine], spread[mine]
-                if not len(f):
+                    node, prints, spread = node[mine], prints[mine], spread[mine]
+                if not len(node):
                     break
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (table << bits | spread[:, at] @ powers, f, *prints.T)], ["key", "f", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (table << bits | spread[:, at] @ powers, node, *prints.T)], ["key", "node", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            key, f, *words = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, node, *words = (np.concatenate(x) for x in zip(*held, strict=True))
             group = table_groups(key, np.stack(words, 1).view(np.uint64), references, most)
-            least = f.copy()
-            np.minimum.at(least, group, f)
-            more = f != least[group]
-            return pa.RecordBatch.from_arrays([pa.array(f[more]), pa.array(least[group][more])], ["a", "b"])
+            least = node.copy()
+            np.minimum.at(least, group, node)
+            more = node != least[group]
+            pairs = np.unique(np.stack([node[more], least[group][more]], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             new = [x.to_numpy() for x in batch.columns]
@@ -338,14 +342,20 @@ def fingerprint_links(distinct: DataFrame, n: int, similarity: float) -> DataFra
             yield flush()
         held.clear()
 
-    able = distinct.filter(F.col("size") / (F.col("size") + 1) >= similarity).select("f", "size", *(F.col("bits")[k].alias(w) for k, w in enumerate(names)))
-    rows = able.mapInArrow(lean(deal), ", ".join(f"{c} long" for c in ("key", "f", *names)))
+    able = distinct.filter(F.col("size") / (F.col("size") + 1) >= similarity).select("node", "size", *(F.col("bits")[k].alias(w) for k, w in enumerate(names)))
+    rows = able.mapInArrow(lean(deal), ", ".join(f"{c} long" for c in ("key", "node", *names)))
     return rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(lean(run), "a long, b long")
 
 
 def candidates(distinct: DataFrame, n: int, similarity: float) -> DataFrame:
-    """``band``, ``value``, ``f``, ``p`` and ``size`` of the sets in a group of candidates, which ``band`` and ``value`` name."""
-    joined = components(fingerprint_links(distinct, n, similarity))
+    """``band``, ``value``, ``f``, ``p`` and ``size`` of the sets in a group of candidates, which ``band`` and ``value`` name.
+
+    The first tables connect most of a large group, whose members are one node in the others: there each would give it a link to another least member.
+    """
+    first = components(fingerprint_links(distinct.withColumn("node", F.col("f")), n, similarity, 0, FIRST_TABLES))
+    nodes = distinct.join(first, F.col("f") == F.col("node"), "left").select("f", "size", "bits", F.coalesce("component", "f").alias("node"))
+    links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(fingerprint_links(nodes, n, similarity, FIRST_TABLES))
+    joined = components(links.mapInArrow(lambda batches: batches, "a long, b long"))
     grouped = cut(joined.unionAll(joined.select(F.col("component").alias("node"), "component").distinct()).mapInArrow(lambda batches: batches, "node long, component long"))
     met = distinct.join(grouped, F.col("f") == F.col("node"))
     return cut(met.select(F.lit(0).alias("band"), F.col("component").alias("value"), "f", "p", "size"))

@@ -398,6 +398,33 @@ def test_fingerprint_tables_find_pairs_at_the_bound(spark):
     assert sum(a in got and got[a] == got.get(b) for a, b in pairs) == len(pairs) and len(got) == 2 * len(pairs) == 2 * len(set(got.values()))
 
 
+def test_tables_name_members_of_large_groups_a_few_times(spark, monkeypatch):
+    """2,000 near copies, pairs and chains: links in proportion to the members, not once for each table, and the groups of all tables at once."""
+    from corpusweave.llm import simhash
+
+    rng, counts, real = np.random.default_rng(4), [], simhash.components
+    base = rng.integers(0, 1 << 64, 300, np.uint64)
+    sets = [np.concatenate([np.delete(base, rng.choice(300, 15, replace=False)), rng.integers(0, 1 << 64, 15, np.uint64)]) for _ in range(2000)]
+    chain = rng.integers(0, 1 << 64, 400, np.uint64)
+    sets += [chain[k : k + 100] for k in range(0, 300, 10)]
+    sets += [x for one in rng.integers(0, 1 << 64, (50, 55), np.uint64) for x in (one[:50], one[5:])]
+    sets += list(rng.integers(0, 1 << 64, (100, 50), np.uint64))
+    rows = [(k, len(x), simhash.wide_print(x)) for k, x in enumerate(sets)]
+    distinct = spark.createDataFrame(rows, "f long, size int, bits array<long>").selectExpr("*", "bits[0] AS p").repartition(4).cache()
+
+    def counted(edges):
+        counts.append(edges.distinct().count())
+        return real(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    groups = lambda: {r["f"]: r["value"] for r in simhash.candidates(distinct, len(rows), 0.8).collect()}
+    got = groups()
+    assert {got[k] for k in range(2000)} == {0} and len(got) == 2000 + 30 + 100
+    assert sum(counts) <= 6 * len(got)
+    monkeypatch.setattr(simhash, "FIRST_TABLES", 0, raising=False)
+    assert groups() == got
+
+
 def luhn(digits):
     total = 0
     for k, c in enumerate(reversed(digits)):
