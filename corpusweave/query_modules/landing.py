@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave import config
-from corpusweave.catalog import scratch_path, table
-from corpusweave.operators.html import parse_pages
+from corpusweave.catalog import scratch_path, spread, table
+from corpusweave.operators.html import parsed
 from corpusweave.registry import register
 from corpusweave.sources import collections, files
 
@@ -20,12 +20,14 @@ PAGE = (
 )
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
+def pages(spark: SparkSession, sf: str, column: str) -> DataFrame:
+    """The url and a column of a page for each row of ``part``; rows are dealt out before their pages are made."""
     html = F.lit(PAGE)
     for mark, value in (("{name}", F.col("p_name")), ("{type}", F.col("p_type")), ("{n}", F.col("p_size").cast("string"))):
         html = F.replace(html, F.lit(mark), value)
-    raw = table(spark, sf, "part").select(F.concat(F.lit(f"{BASE}/p"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
-    return parse_pages(raw, BASE, HOST)
+    rows = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size"), "p_partkey")
+    raw = rows.select(F.concat(F.lit(f"{BASE}/p"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+    return parsed(raw, BASE, HOST, columns=("url", column))
 
 
 _URL = "SELECT 'https://w.example/p' || p_partkey AS url, "
@@ -33,53 +35,53 @@ _URL = "SELECT 'https://w.example/p' || p_partkey AS url, "
 
 @register("h6_links", _URL + "['https://w.example/Link' || p_size] AS internal_links FROM part")
 def h6(spark, sf):
-    return pages(spark, sf).select("url", "internal_links")
+    return pages(spark, sf, "internal_links")
 
 
 @register("h7_breadcrumb", _URL + "['Equipment', 'Weapons'] AS breadcrumb FROM part")
 def h7(spark, sf):
-    return pages(spark, sf).select("url", "breadcrumb")
+    return pages(spark, sf, "breadcrumb")
 
 
 @register("h10_noise", _URL + "false AS has_noise FROM part")
 def h10(spark, sf):
-    return pages(spark, sf).select("url", (F.contains("body_text", F.lit("bad")) | F.contains("body_text", F.lit("Equipment"))).alias("has_noise"))
+    return pages(spark, sf, "body_text").select("url", (F.contains("body_text", F.lit("bad")) | F.contains("body_text", F.lit("Equipment"))).alias("has_noise"))
 
 
 @register("h13_own_text", _URL + "['Drop ' || p_size, 'Inner'] AS items FROM part")
 def h13(spark, sf):
-    return pages(spark, sf).select("url", F.filter(F.split("body_text", "\n"), lambda x: x.rlike("^(Drop|Inner)")).alias("items"))
+    return pages(spark, sf, "body_text").select("url", F.filter(F.split("body_text", "\n"), lambda x: x.rlike("^(Drop|Inner)")).alias("items"))
 
 
 @register("h14_image", _URL + "'https://w.example/img' || p_size || '.jpg' AS image_url FROM part")
 def h14(spark, sf):
-    return pages(spark, sf).select("url", "image_url")
+    return pages(spark, sf, "image_url")
 
 
 @register("h15_infobox", _URL + "p_type AS kind FROM part")
 def h15(spark, sf):
-    return pages(spark, sf).select("url", F.col("infobox")["Kind"].alias("kind"))
+    return pages(spark, sf, "infobox").select("url", F.col("infobox")["Kind"].alias("kind"))
 
 
 @register("h17_stats", _URL + "'C' AS str_grade, p_size + 0.5::DOUBLE AS weight, p_size AS fp_cost, 1 AS n_scaling FROM part")
 def h17(spark, sf):
     s = F.col("stats")
-    return pages(spark, sf).select("url", s["scaling"]["str"].alias("str_grade"), s["weight"].alias("weight"), s["fp_cost"].alias("fp_cost"), F.size(s["scaling"]).alias("n_scaling"))
+    return pages(spark, sf, "stats").select("url", s["scaling"]["str"].alias("str_grade"), s["weight"].alias("weight"), s["fp_cost"].alias("fp_cost"), F.size(s["scaling"]).alias("n_scaling"))
 
 
 @register("h18_dialogue", _URL + "['A spoken line number ' || p_size || ' here.'] AS dialogue FROM part")
 def h18(spark, sf):
-    return pages(spark, sf).select("url", "dialogue")
+    return pages(spark, sf, "dialogue")
 
 
 @register("h19_descriptions", _URL + "['A description of forty characters or more, number ' || p_size || '.'] AS item_descriptions FROM part")
 def h19(spark, sf):
-    return pages(spark, sf).select("url", "item_descriptions")
+    return pages(spark, sf, "item_descriptions")
 
 
 @register("h20_body", _URL + "['## Dialogue', '## Description'] AS headings FROM part")
 def h20(spark, sf):
-    return pages(spark, sf).select("url", F.filter(F.split("body_text", "\n"), lambda x: F.startswith(x, F.lit("## "))).alias("headings"))
+    return pages(spark, sf, "body_text").select("url", F.filter(F.split("body_text", "\n"), lambda x: F.startswith(x, F.lit("## "))).alias("headings"))
 
 
 def _folder(spark: SparkSession) -> str:

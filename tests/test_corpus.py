@@ -209,3 +209,14 @@ def test_roster_text():
 
     assert roster_text("Armor", ["Bull-Goat Armor (26.5)"]).startswith("RANKED LIST")
     assert roster_text("Katanas", [f"K{i}" for i in range(20)]).startswith("COMPLETE LIST: Katanas, 20 in all. 15 of them")
+
+
+def test_only_asked_columns_are_worked_out(spark, monkeypatch):
+    monkeypatch.setattr(H, "strip_noise", lambda root: pytest.fail("noise is of no concern"))
+    assert H.parse(PAGE, "u", "https://w.example", "w.example", columns=("url", "title")) == {"url": "u", "title": "Moonveil"}
+    monkeypatch.undo()
+    every = H.parse(PAGE, "u", "https://w.example", "w.example")
+    for column in H.COLUMNS:
+        assert H.parse(PAGE, "u", "https://w.example", "w.example", columns=(column,)) == {column: every[column]}
+    found = H.parse_pages(spark.createDataFrame([("u", PAGE)], "url string, html string"), "https://w.example", "w.example", columns=("image_url", "stats"))
+    assert found.columns == ["image_url", "stats"] and found.first()["stats"]["scaling"] == every["stats"]["scaling"]
