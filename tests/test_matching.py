@@ -206,3 +206,13 @@ def test_reports_and_loose_pages(spark, tmp_path):
     assert [tuple(r) for r in read_cached_pages(spark, str(tmp_path / "*.html"), loose=True).collect()] == [("x.html", "<p>é</p>")]
 
 
+def test_word_pieces_are_cut_once_a_word(monkeypatch):
+    """Each white-space word is cleaned and cut once, however often it comes, and long words only try pieces that there are."""
+    from corpusweave.functions import tokens
+
+    seen = []
+    split = tokens.split_words
+    monkeypatch.setattr(tokens, "split_words", lambda text: seen.append(text) or split(text))
+    count = tokens.WordPieces(tokens.letter_vocabulary())
+    assert count("Word, é! Word,\x00 " * 500) == 500 * (5 + 2 + 5) and sorted(seen) == ["Word,", "Word,\x00", "é!"]
+    assert tokens.WordPieces(["ab", "##c", "##cd"]).longest == [4, 2]
