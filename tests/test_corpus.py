@@ -220,3 +220,9 @@ def test_only_asked_columns_are_worked_out(spark, monkeypatch):
         assert H.parse(PAGE, "u", "https://w.example", "w.example", columns=(column,)) == {column: every[column]}
     found = H.parse_pages(spark.createDataFrame([("u", PAGE)], "url string, html string"), "https://w.example", "w.example", columns=("image_url", "stats"))
     assert found.columns == ["image_url", "stats"] and found.first()["stats"]["scaling"] == every["stats"]["scaling"]
+
+
+def test_references_end_with_a_semicolon():
+    """A heading that was cut within a reference keeps what is left of it."""
+    for text, want in (("A &amp; B&amp", "A & B&amp"), ("x &lt;&#x27;&#39; &quo", "x <'' &quo"), ("&copy &copy; &nosuch; & &amp;lt;", "&copy © &nosuch; & &lt;"), ("a&#x2", "a&#x2")):
+        assert H.title(H.tree(f"<h1>{text}</h1>")) == want
