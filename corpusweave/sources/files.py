@@ -48,22 +48,23 @@ def cache_name(url):
     return F.concat(F.md5(url.cast("binary")), F.lit(".html"))
 
 
-def write_cached_pages(pages: DataFrame, folder: str) -> None:
-    """Fetched pages (url, html) into the cache: rows of (file, html), in folders by the name's first two digits."""
-    named = pages.select(cache_name(F.col("url")).alias("file"), "html")
+def write_cached_pages(pages: DataFrame, folder: str, *keys: str) -> None:
+    """Fetched pages (url, html) into the cache: rows of (file, html) and the ``keys`` of each landing, in folders by the name's first two digits."""
+    named = pages.select(cache_name(F.col("url")).alias("file"), *keys, "html")
     named.withColumn("lead", F.substring("file", 1, 2)).write.mode("append").partitionBy("lead").parquet(folder)
 
 
-def read_cached_pages(spark: SparkSession, folder: str, loose: bool = False) -> DataFrame:
-    """(file, html) of the cache; with ``loose``, of a folder of single ``.html`` files."""
+def read_cached_pages(spark: SparkSession, folder: str, *keys: str, loose: bool = False) -> DataFrame:
+    """(file, html) of the cache and the ``keys`` of each landing; with ``loose``, of a folder of single ``.html`` files."""
     if not loose:
-        return spark.read.parquet(folder).select("file", "html")
+        return spark.read.parquet(folder).select("file", *keys, "html")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("content").cast("string").alias("html"))
 
 
-def cache_hits(manifest: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Manifest rows with their landed HTML, and those that still have to be fetched."""
-    named = manifest.withColumn("file", cache_name(F.col("url")))
-    once = cached.dropDuplicates(["file"])
-    return named.join(once, "file"), named.join(once.select("file"), "file", "left_anti")
+def cache_hits(manifest: DataFrame, cached: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Manifest rows with their landed HTML, and those that still have to be fetched. A URL's landings
+    serve all its rows (the least HTML, so that reruns agree), or with ``keys`` each landing its own row."""
+    named, by = manifest.withColumn("file", cache_name(F.col("url"))), ["file", *keys]
+    once = cached.groupBy(*by).agg(F.min("html").alias("html"))
+    return named.join(once, by), named.join(once.select(*by), by, "left_anti")

@@ -224,3 +224,22 @@ def test_empty_answers_mention_nothing(spark):
     rows = [(a, "Malenia", "", "", ["Malenia"], "", "", ["Malenia"], 0) for a in ("", None, "of malenia", "none")]
     scores = question_scores(spark.createDataFrame(rows, "answer string, expected_entity string, expected_intent string, expected_group string, entities array<string>, intent string, `group` string, titles array<string>, roster_size int"))
     assert [r["answer_mentions_entity"] for r in scores.collect()] == [False, None, True, False]
+
+
+def test_pages_of_one_url_have_their_own_landings(spark, tmp_path):
+    """The cache query against its SQL where a URL comes several times; without keys all its rows read the same landing."""
+    import duckdb
+
+    from corpusweave import registry
+    from corpusweave.sources import files
+
+    rows = [(0, "a", "000"), (2, "a", "2"), (3, "a", "33"), (4, "b", "4444"), (5, "c", "5")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.queries()["s2_cache_names"](spark, str(tmp_path)).select("page_id", "file", "hit", "n").collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.sql(registry.oracle_sql()["s2_cache_names"]).fetchall())
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files.write_cached_pages(pages.filter("page_id % 2 = 0"), str(tmp_path / "cache"))
+    hits, left = files.cache_hits(pages.select("page_id", "url"), files.read_cached_pages(spark, str(tmp_path / "cache")))
+    assert sorted((r["page_id"], r["html"]) for r in hits.collect()) == [(0, "000"), (2, "000"), (3, "000"), (4, "4444")] and [r["page_id"] for r in left.collect()] == [5]
