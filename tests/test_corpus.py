@@ -226,3 +226,22 @@ def test_references_end_with_a_semicolon():
     """A heading that was cut within a reference keeps what is left of it."""
     for text, want in (("A &amp; B&amp", "A & B&amp"), ("x &lt;&#x27;&#39; &quo", "x <'' &quo"), ("&copy &copy; &nosuch; & &amp;lt;", "&copy © &nosuch; & &lt;"), ("a&#x2", "a&#x2")):
         assert H.title(H.tree(f"<h1>{text}</h1>")) == want
+
+
+def test_chunks_are_shuffled_without_their_pages(spark):
+    """Only the wanted columns of a chunk go through the dedup; of equal texts the first counts, and ties have an order."""
+    made = [("u", i, h, "body", "same text", "page " * 1000) for i, h in ((1, "B"), (1, "A"), (2, "0"))] + [("u", 0, "Z", "body", "other", "p")]
+    chunks = spark.createDataFrame(made, "url string, chunk_index int, section_heading string, chunk_type string, raw_text string, body_text string")
+    found = K.dedup(chunks.withColumn("n_chars", F.length("raw_text")), "section_heading", "chunk_index", "n_chars")
+    assert sorted(map(tuple, found.collect())) == [("A", 1, 9), ("Z", 0, 5)]
+    assert "body_text" not in found._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    pages = H.parse_pages(spark.createDataFrame([("https://w.example/M", PAGE)], "url string, html string"), "https://w.example", "w.example", columns=K.PAGE_COLUMNS)
+    assert not set(K.PARTS) & set(K.chunk_pages(pages).columns)
+
+
+def test_long_texts_are_stripped_alike(spark):
+    from corpusweave.functions import text as X
+
+    texts = ["", " ", "a", " a", "a\n", "\u2003a b\u00a0", "a\u2028", "a b", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(X.strip(F.col("t")).alias("a"), X.strip_long(F.col("t")).alias("b")).collect()
+    assert [r["b"] for r in rows] == [r["a"] for r in rows]
