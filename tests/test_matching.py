@@ -206,8 +206,6 @@ def test_reports_and_loose_pages(spark, tmp_path):
     assert [tuple(r) for r in read_cached_pages(spark, str(tmp_path / "*.html"), loose=True).collect()] == [("x.html", "<p>é</p>")]
 
 
-
-
 def test_word_pieces_are_cut_once_a_word(monkeypatch):
     """Each white-space word is cleaned and cut once, however often it comes, and long words only try pieces that there are."""
     from corpusweave.functions import tokens
